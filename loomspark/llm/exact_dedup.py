@@ -79,6 +79,5 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
 
 def drop_copies(docs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they are."""
-    numbered = docs.withColumn("_row_no", F.monotonically_increasing_id())
     stay = exact_dedup(docs, fan_in, rounds).filter("kept").select(F.col("row_no").alias("_row_no"))
-    return numbered.join(stay, "_row_no", "left_semi").select(*docs.columns)
+    return docs.withColumn("_row_no", F.monotonically_increasing_id()).join(stay, "_row_no", "left_semi").select(*docs.columns)

@@ -11,14 +11,12 @@ sort of documents.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import WORD, cut, whole_text
 
-BITS, LEVELS, SALTS = 12, 3, 64
+BITS, LEVELS, SALTS, SMALL = 12, 3, 64, 10_000
 
 
 def line_place(doc_id: Column, seed: str) -> Column:
@@ -33,7 +31,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
         "doc_id",
         "source",
         F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
-        line_place(F.col("doc_id"), seed).alias("place"),
+        line_place(F.col("doc_id"), seed).alias("_place"),
     )
 
 
@@ -64,7 +62,7 @@ def budgets(rows: DataFrame, weights: tuple[int, ...], share: float, max_repeats
     )
     level = (F.col("all_words") - F.col("full_words")) / (F.col("all_weights") - F.col("full_weights"))
     leveled = filled.withColumn("level", level).withColumn(
-        "level", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
+        "level", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything)
     )
     target = F.least(
         F.coalesce(F.col("level") * F.col("weight"), F.lit(max_repeats) * F.col("source_size")),
@@ -81,16 +79,20 @@ def budgets(rows: DataFrame, weights: tuple[int, ...], share: float, max_repeats
     )
 
 
-def _salted(small: DataFrame) -> DataFrame:
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _by_source(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """Joins one row per source to the documents, each source dealt over 64 salts."""
-    left = rows.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int"))
-    right = _salted(small.withColumnRenamed("source", "_source"))
-    on = left["source"].eqNullSafe(right["_source"]) & (left["salt"] == right["salt"])
-    return left.join(right, on).drop(right["salt"]).drop("salt", "_source")
+    """Joins one row per source to the documents.
+
+    Up to ``SMALL`` sources, which is checked, are broadcast. More than that
+    are dealt over 64 salts, so that a source that holds a third of all rows
+    isn't one task's.
+    """
+    right = small.withColumnRenamed("source", "_source")
+    if small.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(right), rows["source"].eqNullSafe(right["_source"])).drop("_source")
+    left = rows.withColumn("_salt", F.pmod("_place", F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = left["source"].eqNullSafe(right["_source"]) & (left["_salt"] == right["_dealt"])
+    return left.join(right, on).drop("_salt", "_dealt", "_source")
 
 
 def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
@@ -107,10 +109,10 @@ def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
             rows
             if level == 1
             else _by_source(rows, found.select("source", "low")).filter(
-                (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(width << BITS))
+                (F.col("_place") >= F.col("low")) & (F.col("_place") < F.col("low") + F.lit(width << BITS))
             )
         )
-        histogram = inside.groupBy("source", F.floor(F.col("place") / width).alias("bucket")).agg(
+        histogram = inside.groupBy("source", F.floor(F.col("_place") / width).alias("bucket")).agg(
             F.sum("size").alias("words")
         )
         order = Window.partitionBy("source").orderBy("bucket")
@@ -135,6 +137,18 @@ def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
     return found
 
 
+def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and places, and each source's threshold under names that no column of the documents has."""
+    rows = cut(sized(docs, seed))
+    found = thresholds(rows, cut(budgets(rows, weights, share, max_repeats)))
+    return rows, found.select("source", *(F.col(c).alias(f"_{c}") for c in found.columns if c != "source"))
+
+
+def _repeats(max_repeats: int):
+    more = (F.col("_place") < F.col("_low")) & (F.col("_passes") < max_repeats) & (F.col("_rest") > 0)
+    return F.col("_passes") + more.cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -150,30 +164,35 @@ def mix(
     often as their place says; an empty table gives no rows. Rows that repeat a
     doc_id share a place and are taken alike; a null id is a place too.
     """
-    rows = cut(sized(docs, seed))
-    found = thresholds(rows, cut(budgets(rows, weights, share, max_repeats)))
-    repeats = F.col("passes") + (
-        (F.col("place") < F.col("low")) & (F.col("passes") < max_repeats) & (F.col("rest") > 0)
-    ).cast("long")
+    rows, found = _planned(docs, weights, share, max_repeats, seed)
     return (
         _by_source(rows, found)
-        .withColumn("repeats", repeats)
-        .select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+        .withColumn("repeats", _repeats(max_repeats))
+        .select(
+            "doc_id",
+            "source",
+            "size",
+            F.col("_source_size").alias("source_size"),
+            F.col("_target").alias("target"),
+            "repeats",
+            (F.col("repeats") * F.col("size")).alias("taken"),
+        )
     )
 
 
-def keep_mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes at least once, with their columns as they are, repeated as often as it takes them."""
-    seed = how.get("seed", "mix")
-    taken = mix(docs, **how).select("doc_id", "source", "repeats").distinct()
-    left = docs.withColumn("_at", line_place(F.col("doc_id"), seed))
-    right = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "repeats")
-    on = reduce(
-        Column.__and__,
-        [left["doc_id"].eqNullSafe(right["_id"]), left["source"].eqNullSafe(right["_source"])],
-    )
+def keep_mixed(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.0,
+    max_repeats: int = 3,
+    seed: str = "mix",
+) -> DataFrame:
+    """The documents of the mix with their columns as they are, each as often as the mix takes it."""
+    _, found = _planned(docs, weights, share, max_repeats, seed)
     return (
-        left.join(right, on)
-        .withColumn("_copy", F.explode(F.expr("sequence(1, repeats, 1)").cast("array<int>") if False else F.expr("CASE WHEN repeats > 0 THEN array_repeat(1, cast(repeats AS int)) ELSE array() END")))
+        _by_source(docs.withColumn("_place", line_place(F.col("doc_id"), seed)), found)
+        .withColumn("_repeats", _repeats(max_repeats))
+        .filter("_repeats > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))))
         .select(*docs.columns)
     )
