@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.llm.bpe import encode_decode
 from loomspark.llm.chat import rotate_perspectives
-from loomspark.llm.common import table
+from loomspark.llm.common import fresh_path, table
 from loomspark.llm.exact_dedup import exact_dedup
 from loomspark.llm.mixing import mix
+from loomspark.llm.token_files import read_token_files, write_token_files
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encode_decode(table(spark, sf_dir, "documents"), path, ids=False).drop("ids", "decoded")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -24,9 +32,17 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408)
+    return read_token_files(spark, folder, ids=False).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op3_bpe_round_trip": op3_bpe_round_trip,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mix": op8_source_mix,
+        "op10_token_files": op10_token_files,
     }
