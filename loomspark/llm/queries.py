@@ -12,6 +12,7 @@ from loomspark.llm.chat import rotate_perspectives
 from loomspark.llm.common import fresh_path, table
 from loomspark.llm.exact_dedup import exact_dedup
 from loomspark.llm.mixing import mix
+from loomspark.llm.quality import classify
 from loomspark.llm.token_files import read_token_files, write_token_files
 
 
@@ -24,6 +25,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), path, ids=False).drop("ids", "decoded")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_quality": op4_quality,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mix": op8_source_mix,
         "op10_token_files": op10_token_files,
