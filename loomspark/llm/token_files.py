@@ -150,7 +150,7 @@ class Library:
 library = lru_cache(maxsize=2)(Library)
 
 
-def library_ids(path: str, texts: list[str], end: int, remembered: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def library_ids(path: str, texts: list[str], end: int, remembered: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts by the tokenizers library, each with the end id, and the documents' lengths.
 
     White space ends every token of this tokenizer, so each piece between is
