@@ -12,6 +12,7 @@ from loomspark.llm.chat import rotate_perspectives
 from loomspark.llm.common import fresh_path, table
 from loomspark.llm.exact_dedup import exact_dedup
 from loomspark.llm.mixing import mix
+from loomspark.llm.ngram_join import near_duplicates
 from loomspark.llm.quality import classify
 from loomspark.llm.token_files import read_token_files, write_token_files
 
@@ -29,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_quality": op4_quality,
+        "op5_ngram_join": op5_ngram_join,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mix": op8_source_mix,
         "op10_token_files": op10_token_files,
