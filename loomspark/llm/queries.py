@@ -15,6 +15,7 @@ from loomspark.llm.mixing import mix
 from loomspark.llm.ngram_join import near_duplicates
 from loomspark.llm.quality import classify
 from loomspark.llm.token_files import read_token_files, write_token_files
+from loomspark.llm.vamana import nearest
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408)
@@ -56,5 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": op5_ngram_join,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mix": op8_source_mix,
+        "op9_nearest_vectors": op9_nearest_vectors,
         "op10_token_files": op10_token_files,
     }
