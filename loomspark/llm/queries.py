@@ -14,6 +14,7 @@ from loomspark.llm.exact_dedup import exact_dedup
 from loomspark.llm.mixing import mix
 from loomspark.llm.ngram_join import near_duplicates
 from loomspark.llm.quality import classify
+from loomspark.llm.token_counts import count_tokens
 from loomspark.llm.token_files import read_token_files, write_token_files
 from loomspark.llm.vamana import nearest
 
@@ -35,6 +36,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_quality": op4_quality,
         "op5_ngram_join": op5_ngram_join,
+        "op6_token_counts": op6_token_counts,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mix": op8_source_mix,
         "op9_nearest_vectors": op9_nearest_vectors,

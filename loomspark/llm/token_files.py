@@ -147,7 +147,9 @@ class Library:
                 self.known[piece] = np.array(ids, np.uint32).tobytes()
 
 
-library = lru_cache(maxsize=2)(Library)
+@lru_cache(maxsize=2)
+def library(path: str) -> Library:
+    return Library(path)
 
 
 def library_ids(path: str, texts: list[str], end: int, remembered: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
