@@ -14,6 +14,7 @@ from loomspark.llm.exact_dedup import exact_dedup
 from loomspark.llm.mixing import mix
 from loomspark.llm.ngram_join import near_duplicates
 from loomspark.llm.quality import classify
+from loomspark.llm.suffix_dedup import remove_repeats
 from loomspark.llm.token_counts import count_tokens
 from loomspark.llm.token_files import read_token_files, write_token_files
 from loomspark.llm.vamana import nearest
@@ -23,6 +24,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("row_no", "kept")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return encode_decode(table(spark, sf_dir, "documents"), path, ids=False).drop("ids", "decoded")
@@ -61,6 +66,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_quality": op4_quality,
         "op5_ngram_join": op5_ngram_join,
