@@ -196,7 +196,7 @@ def test_folds_over_arrays(spark):
 
     xs = F.array(*(F.lit(float(x)) for x in (3, 3, -9, 1)))
     assert one(spark, sequences.clamped_walk(xs, 0.0, -5.0, 5.0)) == [3.0, 5.0, -4.0, -3.0]
-    assert one(spark, sequences.rate_limited(F.array(*(F.lit(float(x)) for x in (0, 10, 10))), 4.0)) == [1.0, 5.0, 9.0]
+    assert one(spark, sequences.rate_limited(F.array(*(F.lit(float(x)) for x in (0, 10, 10))), 4.0)) == [3.0, 7.0, 9.0]
     assert one(spark, sequences.tail_mean(xs)) == 3.0
     assert one(spark, sequences.pearson(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(1.0)))) == 1.0
     assert one(spark, sequences.pearson(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
