@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomspark.llm.common import in_text_batches
+
 #: The white space of Unicode; Python's own split() also takes U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[^{SPACE}]+")
@@ -116,14 +118,14 @@ class WordBpe:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of pre-tokens (in the byte alphabet), little endian; each shared prefix is computed once."""
         found: dict[str, bytes] = {}
-        last, codes, before = [0], [b""], ""  # the trie's path: last token and whole encoding at each depth
+        last, came_from, before = [0], [0], ""  # the trie's path: the last token at each depth, and the depth before it
         longest, known, packed = self.longest, self.fits_known, self.packed
         for word in sorted(words):
             size = len(word)
             common, n = 0, min(len(before), size - 1, len(last) - 1)
             while common < n and before[common] == word[common]:
                 common += 1
-            del last[common + 1 :], codes[common + 1 :]
+            del last[common + 1 :], came_from[common + 1 :]
             tokens = self.inner
             for depth in range(common + 1, size + 1):
                 if depth == size:
@@ -140,11 +142,14 @@ class WordBpe:
                             break
                 else:
                     raise ValueError(f"no encoding of {word!r}")
-                if depth == size:
-                    found[word] = codes[start] + packed[token]
-                else:
+                if depth < size:
                     last.append(token)
-                    codes.append(codes[start] + packed[token])
+                    came_from.append(start)
+            ids = [packed[token]]
+            while start:
+                ids.append(packed[last[start]])
+                start = came_from[start]
+            found[word] = b"".join(ids[::-1])
             before = word
         return found
 
@@ -208,6 +213,18 @@ def encoded_runs(bpe: WordBpe, texts: list[str | None]) -> Iterator[tuple[list[s
         yield run, bpe.encode_pieces(wanted)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
@@ -222,7 +239,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         names = bpe.names
-        for batch in batches:
+        for batch in gathered(batches, TRIE_BYTES):
             at, doc_ids = 0, batch.column(0)
             for run, of in encoded_runs(bpe, batch.column(1).to_pylist()):
                 counts, id_lists, texts, id_digests, text_digests = [], [], [], [], []
@@ -243,6 +260,6 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 )
                 at += len(run)
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return in_text_batches(docs).select("doc_id", "text").mapInArrow(
         step, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"
     )

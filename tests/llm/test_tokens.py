@@ -46,6 +46,12 @@ def test_trie_gives_the_librarys_ids(library):
         assert list(memoryview(packed).cast("i")) == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_a_very_long_word(library):
+    text = "".join(random.Random(1).choice("abcdefghé中") for _ in range(150_000))
+    packed = WordBpe(PATH).encode_pieces({text})[text]
+    assert list(memoryview(packed).cast("i")) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(spark, library):
     rows = [(i if i != 3 else None, t, "x") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
