@@ -204,3 +204,35 @@ def strength_of_progress(progress: Column, cuts: Sequence[float], names: Sequenc
     for cut, name in zip(cuts[1:], names[1:], strict=False):
         out = out.when(progress < cut, F.lit(name))
     return out.otherwise(F.lit(names[len(cuts)]))
+
+
+def matrix_from_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
+    """The rotation about x, then y, then z as nine numbers, row by row."""
+    cr, sr, cp, sp, cy, sy = F.cos(roll), F.sin(roll), F.cos(pitch), F.sin(pitch), F.cos(yaw), F.sin(yaw)
+    return F.array(
+        cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr,
+        sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr,
+        -sp, cp * sr, cp * cr,
+    )
+
+
+def matrix_angle(a: Column, b: Column) -> Column:
+    """The angle between two rotations given as nine numbers each; 0 where they are all but equal."""
+    cosine = clamp((dot(a, b) - 1) / 2, -1.0, 1.0)
+    return F.when(cosine > 1 - 1e-12, F.lit(0.0)).otherwise(F.acos(cosine))
+
+
+def orthonormal_error(m: Column) -> Column:
+    """The largest difference of a 3 x 3 matrix's product with its transpose from the identity."""
+    rows = [F.slice(m, 1 + 3 * i, 3) for i in range(3)]
+    return F.greatest(*(F.abs(dot(rows[i], rows[j]) - (1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)))
+
+
+def determinant(m: Column) -> Column:
+    a, b, c, d, e, f, g, h, i = (m[k] for k in range(9))
+    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+
+def project(x: Column, y: Column, z: Column, fx: float, fy: float, cx: float, cy: float) -> Column:
+    """Pixel coordinates of a point in front of a pinhole camera, null behind it."""
+    return F.when(z > 0, F.struct((x / z * fx + cx).alias("u"), (y / z * fy + cy).alias("v")))
