@@ -55,21 +55,27 @@ def resampled_scale(rows: DataFrame, keys: Sequence[str], stratum: str, value: s
 
 
 def best_permutation(rows: DataFrame, keys: Sequence[str], source: str, target: str, cost: str, margin: float, most: int = 6) -> DataFrame:
-    """Per group of up to ``most`` sources and as many targets the cheapest pairing, and whether it beats the straight one by the margin."""
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sources, i = np.unique(pdf[source].to_numpy(), return_inverse=True)
-        targets, j = np.unique(pdf[target].to_numpy(), return_inverse=True)
-        n, grid = len(sources), np.full((len(sources), len(targets)), np.inf)
-        np.minimum.at(grid, (i, j), pdf[cost].to_numpy(float))
-        if n > most or n != len(targets) or not np.isfinite(grid).all():
-            raise ValueError(f"{key}: {n} sources, {len(targets)} targets")
-        costs = {p: sum(grid[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(n))}
-        best = min(costs, key=lambda p: (costs[p], p))
-        straight = costs[tuple(range(n))]
-        return pd.DataFrame([[*key, list(best), costs[best], straight, bool(straight - costs[best] > margin)]], columns=[*keys, "pairing", "least", "straight", "swapped"])
-
-    return rows.select(*keys, source, target, cost).groupBy(*keys).applyInPandas(solve, f"{_types(rows, keys)}, pairing array<int>, least double, straight double, swapped boolean")
+    """Per group of up to ``most`` sources and as many targets the cheapest pairing, and whether it beats the straight one by the margin.
+
+    Sources and targets go by their order; of several costs of a pair the least
+    counts, and of equally cheap pairings the first. A group that is larger,
+    isn't square or lacks a cost has nulls.
+    """
+    held = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(source)).alias("_s"), F.array_sort(F.collect_set(target)).alias("_t"), F.collect_list(F.struct(F.col(source).alias("a"), F.col(target).alias("b"), F.col(cost).cast("double").alias("c"))).alias("_c")
+    )
+    cell = lambda s, t: F.array_min(F.transform(F.filter("_c", lambda c: (c["a"] == s) & (c["b"] == t)), lambda c: c["c"]))
+    grid = F.flatten(F.transform("_s", lambda s: F.transform("_t", lambda t: cell(s, t))))
+    held = held.withColumn("_g", grid).withColumn("_n", F.size("_s"))
+    square = (F.size("_t") == F.col("_n")) & ~F.exists("_g", lambda x: x.isNull())
+    orders, straight = F.lit(None).cast("array<array<int>>"), F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), F.lit(0.0), lambda t, i: t + F.col("_g")[i * F.col("_n") + i])
+    for n in range(1, most + 1):
+        every = F.array(*(F.array(*map(F.lit, p)) for p in itertools.permutations(range(n))))
+        orders = F.when(square & (F.col("_n") == n), every).otherwise(orders)
+    total = lambda p: F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), F.lit(0.0), lambda t, i: t + F.col("_g")[i * F.col("_n") + p[i]])
+    best = F.array_min(F.transform(orders, lambda p: F.struct(total(p).alias("least"), p.alias("pairing"))))
+    found = held.withColumn("_b", best).withColumn("straight", F.when(F.col("_b").isNotNull(), straight))
+    return found.select(*keys, "_b.pairing", "_b.least", "straight", (F.col("straight") - F.col("_b.least") > margin).alias("swapped"))
 
 
 def least_distance(points: DataFrame, keys: Sequence[str], label: str, coordinates: Sequence[str]) -> DataFrame:

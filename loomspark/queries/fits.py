@@ -54,7 +54,7 @@ def identity_swaps(spark, d):
     rows = read(spark, d, "orders").withColumn("n", F.expr("row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")).filter("n <= 4")
     pairs = rows.select("o_custkey", F.col("n").alias("a"), F.col("o_totalprice").alias("pa")).join(rows.select("o_custkey", F.col("n").alias("b"), F.col("o_totalprice").alias("pb")), "o_custkey")
     full = pairs.withColumn("cost", F.abs(F.col("pa") - F.col("pb") * F.when(F.col("a") == F.col("b"), 1.1).otherwise(1.0)) / 1000)
-    return fitting.best_permutation(full, ["o_custkey"], "a", "b", "cost", 1.0).withColumn("least", F.round("least", 5)).withColumn("straight", F.round("straight", 5))
+    return fitting.best_permutation(full, ["o_custkey"], "a", "b", "cost", 1.0, 4).withColumn("least", F.round("least", 5)).withColumn("straight", F.round("straight", 5))
 
 
 @query(
