@@ -21,6 +21,24 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of an Arrow batch of whole texts; a power of two.
+TEXT_BATCH = 1024
+
+
+def in_text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts Python gets in batches of ``TEXT_BATCH`` rows, unless the session asks for fewer.
+
+    The default of 10,000 rows is made for numbers; with texts of some thousand
+    characters a batch would take tens of megabytes several times over. The
+    setting is the session's and holds for what it runs from now on.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= TEXT_BATCH:
+        conf.set(name, str(TEXT_BATCH))
+    return docs
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

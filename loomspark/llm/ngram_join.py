@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import cut
+from loomspark.llm.common import cut, in_text_batches
 from loomspark.llm.components import components
 from loomspark.llm.rolling import Spans, flat, mix, slices, words
 
 #: Bytes of text that are shingled at once, shingles hashed at once, documents of a block, and shingles that a block compares at once.
-STEP_BYTES, CHUNK, BLOCK, WIDTH = 4 << 20, 512, 256, 4096
+STEP_BYTES, CHUNK, BLOCK, WIDTH = 1 << 20, 512, 256, 4096
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -90,7 +90,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFra
                     ["doc_id", "set_id", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, set_id binary, bands array<long>")
+    return in_text_batches(docs).select("doc_id", "text").mapInArrow(step, "doc_id long, set_id binary, bands array<long>")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:

@@ -19,20 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from loomspark.llm.common import in_text_batches
 from loomspark.llm.rolling import Spans, flat, mix, slices, words
 
 #: Bytes of text that are turned into features at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that the model is fitted on; buckets bound its size."""
+    """``sample`` bounds the labelled rows that the model is fitted on, ``bits`` the buckets; ``steps`` of ``batch`` rows each are taken at any size."""
 
     sample: int = 3000
     bits: int = 17
     size: int = 6
-    epochs: int = 4
+    steps: int = 400
     batch: int = 32
     rate: float = 20.0
     seed: int = 7
@@ -54,6 +55,7 @@ def features(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     for n, of, at in ((2, word, first), (3, None, borders), (4, None, borders)):
         last = len(word if n == 2 else data) - n + 1
         if last <= 0:
+            found.append((np.zeros(0, np.int32), np.zeros_like(at)))
             continue
         inside = np.ones(last, bool)  # whether all n are in one document
         for i in range(1, n):
@@ -73,26 +75,25 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[
     rnd = np.random.default_rng(s.seed)
     vectors = rnd.uniform(-1 / s.size, 1 / s.size, (1 << s.bits, s.size)).astype(np.float32)
     out, offset = rnd.uniform(-1, 1, (s.size, 2)).astype(np.float32), np.zeros(2, np.float32)
-    steps, step = s.epochs * -(-len(docs) // s.batch), 0
-    for _ in range(s.epochs):
-        order = rnd.permutation(len(docs))
-        for i in range(0, len(docs), s.batch):
-            some = [docs[j] for j in order[i : i + s.batch]]
-            rate = s.rate * (1 - step / steps)
-            step += 1
-            ids, share = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
-            of = np.repeat(np.arange(len(some)), [len(x[0]) for x in some])
-            hidden = np.zeros((len(some), s.size), np.float32)
-            for k in range(s.size):
-                hidden[:, k] = np.bincount(of, vectors[ids, k] * share, len(some))
-            logits = hidden @ out + offset
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(some)), [x[2] for x in some]] -= 1
-            back = (p @ out.T).astype(np.float32)
-            np.subtract.at(vectors, ids, (rate * share)[:, None] * back[of] / len(some) * 8)
-            out -= 0.02 * rate * hidden.T @ p / len(some)
-            offset -= 0.02 * rate * p.sum(0) / len(some)
+    order = np.zeros(0, np.int64)
+    for step in range(s.steps):
+        while len(order) < s.batch:
+            order = np.concatenate([order, rnd.permutation(len(docs))])
+        some, order = [docs[j] for j in order[: s.batch]], order[s.batch :]
+        rate = s.rate * (1 - step / s.steps)
+        ids, share = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
+        of = np.repeat(np.arange(len(some)), [len(x[0]) for x in some])
+        hidden = np.zeros((len(some), s.size), np.float32)
+        for k in range(s.size):
+            hidden[:, k] = np.bincount(of, vectors[ids, k] * share, len(some))
+        logits = hidden @ out + offset
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(some)), [x[2] for x in some]] -= 1
+        back = (p @ out.T).astype(np.float32)
+        np.subtract.at(vectors, ids, (rate * share)[:, None] * back[of] / len(some) * 8)
+        out -= 0.02 * rate * hidden.T @ p / len(some)
+        offset -= 0.02 * rate * p.sum(0) / len(some)
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(offset[1] - offset[0])
 
 
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = in_text_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +159,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Settings
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns), pa.array(scores)], names)
 
     where, names = docs.columns.index("text"), [*docs.columns, "score"]
-    return docs.mapInArrow(step, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return in_text_batches(docs).mapInArrow(step, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:

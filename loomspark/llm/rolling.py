@@ -27,17 +27,21 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
-    """Ranges of rows that hold about ``most`` bytes of text each, one row at least."""
-    borders = flat(texts)[1]
-    out, start = [], 0
-    while start < len(texts):
+def ranges_of(borders: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of texts between borders that hold about ``most`` bytes each, one text at least."""
+    out, start, n = [], 0, len(borders) - 1
+    while start < n:
         stop = max(start + 1, int(np.searchsorted(borders, borders[start] + most, "right")) - 1)
         out.append((start, stop))
         start = stop
     return out
 
 
+def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` bytes of text each, one row at least."""
+    return ranges_of(flat(texts)[1], most)
+
+
 class Powers:
     """Powers of the base and of its inverse, grown as needed."""
 

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from loomspark.llm.bpe import SPACE, runs
+from loomspark.llm.common import in_text_batches
 
 #: White space and what follows up to the next white space: no pre-token reaches over the border of two such pieces.
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -114,4 +115,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), *columns], ["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
                 at += len(run)
 
-    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, n_bytes long, n_pretokens long, n_tokens long")
+    return in_text_batches(docs).select("doc_id", "text").mapInArrow(step, "doc_id long, n_bytes long, n_pretokens long, n_tokens long")
