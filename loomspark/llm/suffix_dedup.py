@@ -23,17 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import cut
-from loomspark.llm.rolling import Spans, flat, mix, slices
+from loomspark.llm.common import cut, in_text_batches
+from loomspark.llm.rolling import Spans, flat, mix, ranges_of, slices
 
 #: Bytes of a repeat, places of a window (a power of two), bytes of a gram, and bytes behind any anchor that its strings hold.
 SPAN, WINDOW, GRAM = 200, 128, 8
 CORE = SPAN - WINDOW + 1
 #: Bytes of text that are hashed at once.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +82,36 @@ def _hashes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 )
 
 
-def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A batch's rows by number, their bytes and borders."""
-    rows = rows.sort_by("row_no")
-    data, borders = flat(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-    return rows, data, borders
+PACKED = "batch long, doc_ids array<long>, first long, size long, texts binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The documents of each batch in one row, their texts compressed, for the way to where the batch is worked on."""
+    for batch in batches:
+        row_no = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(row_no >> bits)) + 1).tolist(), len(row_no)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == stop:
+                continue
+            data, borders = flat(batch.column(1).slice(start, stop - start))
+            raw = np.diff(borders).astype(np.int64).tobytes() + data.tobytes()
+            row = [int(row_no[start]) >> bits, batch.column(2).slice(start, stop - start).to_pylist(), int(row_no[start]), len(raw), pa.compress(raw, "zstd", asbytes=True)]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["batch", "doc_ids", "first", "size", "texts"])
+
+
+def _unpacked(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's doc_ids, row numbers, bytes and borders, in the order of the numbers."""
+    doc_ids: list = []
+    numbers, sizes, data = [], [np.zeros(1, np.int64)], []
+    for row in sorted(rows.to_pylist(), key=lambda r: r["first"]):
+        raw = pa.decompress(row["texts"], row["size"], "zstd", asbytes=True)
+        n = len(row["doc_ids"])
+        doc_ids += row["doc_ids"]
+        numbers.append(row["first"] + np.arange(n))
+        sizes.append(np.frombuffer(raw, np.int64, n))
+        data.append(np.frombuffer(raw, np.uint8, len(raw) - 8 * n, 8 * n))
+    return doc_ids, np.concatenate([np.zeros(0, np.int64), *numbers]), np.concatenate([np.zeros(0, np.uint8), *data]), np.cumsum(np.concatenate(sizes))
 
 
 def front_coded(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
@@ -103,11 +128,13 @@ def front_coded(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
     numbers = np.array([e[2] for e in entries], np.uint32).tobytes()
     small = [shared, sizes, [len(e[1]) for e in entries], [min(e[3], 2) for e in entries]]
     rests = b"".join([e[0][k:] for e, k in zip(entries, shared.tolist(), strict=True)])
-    return head + numbers + b"".join(np.array(x, np.uint8).tobytes() for x in small) + rests + b"".join([e[1] for e in entries])
+    run = head + numbers + b"".join(np.array(x, np.uint8).tobytes() for x in small) + rests + b"".join([e[1] for e in entries])
+    return np.array([len(run)], np.uint32).tobytes() + pa.compress(run, "zstd", asbytes=True)
 
 
 def decoded(run: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
     """(suffix, bytes shared with the one before, front, number, times) of a run, one after the other."""
+    run = pa.decompress(run[4:], int(np.frombuffer(run, np.uint32, 1)[0]), "zstd", asbytes=True)
     n = int(np.frombuffer(run, np.uint32, 1)[0])
     numbers = np.frombuffer(run, np.uint32, n, 4).tolist()
     shared, sizes, fronts, times = (np.frombuffer(run, np.uint8, n, 4 + 4 * n + i * n).tolist() for i in range(4))
@@ -206,15 +233,15 @@ def _runs(rows: pa.Table, flagged: pa.Table, buckets: int, bits: int) -> pa.Tabl
     """The front-coded runs of a batch, one for each bucket, and under bucket -1 where its suffixes are."""
     out: list[tuple[int, int, bytes]] = []
     key = rows.column("batch")[0].as_py() if rows.num_rows else None
-    wanted = np.sort(flagged.column("hash").to_numpy())
+    wanted = np.unique(flagged.column("hash").to_numpy())
     if key is not None and len(wanted):
-        rows, data, borders = _ordered(rows)
-        low = rows.column("row_no").to_numpy() & ((1 << bits) - 1)
+        _, row_no, data, borders = _unpacked(rows)
+        low = row_no & ((1 << bits) - 1)
         numbers: dict[tuple[bytes, bytes], int] = {}
         held: dict[int, list] = {}
         times: list[int] = []
         places: list[np.ndarray] = []
-        for start, stop in slices(rows.column("text").combine_chunks(), STEP_BYTES):
+        for start, stop in ranges_of(borders, STEP_BYTES):
             base, own = borders[start], borders[start : stop + 1] - borders[start]
             some = data[base : borders[stop]]
             at, first, last = anchors(some, own)
@@ -268,9 +295,8 @@ def _merged(rows: pa.Table, pairs: int) -> pa.Table:
 
 def _removed(rows: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     """The result rows of a batch. ``found`` has the batch's places in one row and ranges of repeats in the others."""
-    rows, data, borders = _ordered(rows)
-    n, depth = rows.num_rows, np.zeros(len(data) + 1, np.int32)
-    row_no = rows.column("row_no").to_numpy()
+    doc_ids, row_no, data, borders = _unpacked(rows)
+    depth = np.zeros(len(data) + 1, np.int32)
     packed = [p for p in found.column("run").to_pylist() if p is not None]
     if packed:
         number, low, at = np.frombuffer(b"".join(packed), np.int32).reshape(len(packed), 3, -1)[0].astype(np.int64)
@@ -291,7 +317,7 @@ def _removed(rows: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     removed, at = np.diff(total[borders]), borders - total[borders]
     texts = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return pa.table(
-        [rows.column("doc_id"), rows.column("row_no"), pa.array(np.diff(borders)), pa.array(removed.astype(np.int64)), pa.array(np.diff(spans[borders]).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())],
+        [pa.array(doc_ids, pa.int64()), pa.array(row_no), pa.array(np.diff(borders)), pa.array(removed.astype(np.int64)), pa.array(np.diff(spans[borders]).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())],
         ["doc_id", "row_no", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
     )
 
@@ -309,13 +335,12 @@ def remove_repeats(docs: DataFrame, texts: bool = True, bits: int = 10, bucket_r
     batch is ``1 << bits`` documents, a bucket has ``bucket_rows`` suffixes on
     average, ``pairs`` is how many are compared each with each.
     """
-    rows = docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
-    rows = rows.withColumn("batch", F.shiftright("row_no", bits))
-    seen = rows.select("row_no", "text").mapInArrow(lambda x: _hashes(x, bits), "batch long, hash long, times int").repartition("hash")
-    twice = seen.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1")
-    flagged = cut(seen.join(twice, "hash", "left_semi").select("batch", "hash").distinct())
+    rows = in_text_batches(docs).select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
+    seen = rows.select("row_no", "text").mapInArrow(lambda x: _hashes(x, bits), "batch long, hash long, times int")
+    times = F.sum("times").over(Window.partitionBy("hash"))
+    flagged = cut(seen.withColumn("n", times).filter("n > 1").select("batch", "hash"))
     buckets = max(1, -(-flagged.count() // bucket_rows))
-    by_batch = rows.groupBy("batch")
+    by_batch = rows.select("row_no", "text", "doc_id").mapInArrow(lambda x: _packed(x, bits), PACKED).groupBy("batch")
     runs = by_batch.cogroup(flagged.groupBy("batch")).applyInArrow(lambda a, b: _runs(a, b, buckets, bits), "bucket long, batch long, run binary")
     runs = cut(runs)
     ranges = runs.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda x: _merged(x, pairs), "batch long, number long, low int, high int")
