@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe import pieces, runs
+from loomspark.llm.common import in_text_batches
 
 BUCKET_BITS = 18
 #: Shards of a file format whose parts Spark's own Parquet writer and reader store.
@@ -114,37 +115,61 @@ class Library:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: Pieces met lately and before; what isn't met again is forgotten.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def prepare(self, wanted: set[str], remembered: int) -> None:
+        """Sees to it that ``known`` has all these pieces."""
+        if len(self.known) > remembered:
+            self.before, self.known = self.known, {}
+        missing = wanted - self.known.keys()
+        again = missing & self.before.keys()
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        self.learn(list(missing - again))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Pieces of letters, perhaps with a stop behind, are one or two words: those are encoded in one text and cut at the words' ends."""
-        plain: list[str] = []
-        words: list[int] = []
-        other: list[str] = []
+        """Encodes pieces. One of letters, perhaps with stops behind, is a word and those stops, which many pieces share.
+
+        Case is no matter to this tokenizer. Words are encoded many to a text,
+        which is cut at their ends.
+        """
+        known, composed, words, other = self.known, [], set(), set()
         for piece in new:
             bare = piece.rstrip(".,")
+            word = bare.lower() if bare.isascii() else bare
             if bare.lower().isalpha():
-                plain.append(piece)
-                words.append(1 + (len(bare) < len(piece)))
+                if word not in known:
+                    words.add(word)
+                if word != piece:
+                    stops = piece[len(bare) :]
+                    composed.append((piece, word, stops))
+                    if stops and stops not in known:
+                        other.add(stops)
             else:
-                other.append(piece)
-        for i in range(0, len(plain), 5000):
-            some = plain[i : i + 5000]
+                other.add(piece)
+        every = list(words)
+        for i in range(0, len(every), 5000):
+            some = every[i : i + 5000]
             ids = np.array(self.encode([" ".join(some)])[0], np.uint32)
-            ends, at = np.flatnonzero(self.closes[ids]) + 1, np.cumsum(words[i : i + 5000])
-            if len(ends) != at[-1] or ends[-1] != len(ids):
-                other += some
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                other.update(some)
                 continue
             packed, start = ids.tobytes(), 0
-            for piece, stop in zip(some, (4 * ends[at - 1]).tolist(), strict=True):
-                self.known[piece] = packed[start:stop]
+            for word, stop in zip(some, (4 * ends).tolist(), strict=True):
+                known[word] = packed[start:stop]
                 start = stop
-        for i in range(0, len(other), 5000):
-            for piece, ids in zip(other[i : i + 5000], self.encode(other[i : i + 5000]), strict=True):
-                self.known[piece] = np.array(ids, np.uint32).tobytes()
+        rest = list(other)
+        for i in range(0, len(rest), 5000):
+            for piece, ids in zip(rest[i : i + 5000], self.encode(rest[i : i + 5000]), strict=True):
+                known[piece] = np.array(ids, np.uint32).tobytes()
+        known[""] = b""
+        for piece, word, stops in composed:
+            known[piece] = known[word] + known[stops]
 
 
 @lru_cache(maxsize=2)
@@ -152,22 +177,19 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def library_ids(path: str, texts: list[str], end: int, remembered: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def library_ids(path: str, texts: list[str], end: int, remembered: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts by the tokenizers library, each with the end id, and the documents' lengths.
 
     White space ends every token of this tokenizer, so each piece between is
-    encoded once and remembered.
+    encoded once and remembered; twice ``remembered`` pieces is the most that a
+    worker holds beside those of the texts.
     """
-    own = library(path)
-    if len(own.known) > remembered:
-        own.known.clear()
-    known = own.known
-    new: set[str] = set()
+    own, wanted = library(path), set()
     for text in texts:
-        new.update([p for p in pieces(text) if p not in known])
-    own.learn(list(new))
-    closing = np.array([end], np.uint32).tobytes()
-    packed = [b"".join([known[p] for p in pieces(t)]) + closing for t in texts]
+        wanted.update(pieces(text))
+    own.prepare(wanted, remembered)
+    of, closing = own.known.__getitem__, np.array([end], np.uint32).tobytes()
+    packed = [b"".join(map(of, pieces(t))) + closing for t in texts]
     return np.frombuffer(b"".join(packed), np.uint32), np.array([len(x) // 4 for x in packed], np.int64)
 
 
@@ -206,7 +228,7 @@ def write_token_files(
                 at, shard = at + len(run), shard + 1
 
     ordered = (
-        docs.select("doc_id", "text")
+        in_text_batches(docs).select("doc_id", "text")
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     )
