@@ -37,7 +37,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with digests of them and of what they decode to."""
-    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

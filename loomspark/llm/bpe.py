@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,8 +31,8 @@ ODD = re.compile("[\x1c-\x1f]")
 #: The pre-tokens of lower-case ASCII text in this tokenizer's pattern.
 ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 END, NEVER = "</w>", 1 << 60
-#: Bytes of text that share a trie, and how many pre-tokens a task remembers between tries.
-TRIE_BYTES, REMEMBERED = 16 << 20, 400_000
+#: Bytes of text that share a trie and that go out in one batch, and how many pre-tokens a task remembers between tries.
+TRIE_BYTES, OUT_BYTES, REMEMBERED = 8 << 20, 1 << 20, 400_000
 
 
 def pieces(text: str) -> list[str]:
@@ -225,40 +226,40 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns doc_id, n_tokens, ids (array of int, null unless ``ids``), decoded
-    (null unless ``ids``), ids_sha256 and decoded_sha256: digests of the ids as
-    little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
-    Null and empty texts have no tokens; repeated rows and null ids stay as
-    they are, an empty table gives no rows, other columns are ignored. ``path``
-    is a public tokenizer file that every executor has.
+    (null unless ``decoded``), ids_sha256 and decoded_sha256: digests of the
+    ids as little-endian unsigned 32-bit integers and of the decoded text in
+    UTF-8. Null and empty texts have no tokens; repeated rows and null ids stay
+    as they are, an empty table gives no rows, other columns are ignored.
+    ``path`` is a public tokenizer file that every executor has.
     """
 
+    def out(doc_ids: pa.Array, packed: list[bytes], texts: list[str]) -> pa.RecordBatch:
+        counts = pa.array([len(x) // 4 for x in packed], pa.int64())
+        if ids:
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+            lists = pa.ListArray.from_arrays(pa.array(ends), values)
+        else:
+            lists = pa.nulls(len(packed), pa.list_(pa.int32()))
+        shown = pa.array(texts, pa.string()) if decoded else pa.nulls(len(packed), pa.string())
+        digests = [pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())]
+        return pa.RecordBatch.from_arrays([doc_ids, counts, lists, shown, *digests], ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         names = bpe.names
         for batch in gathered(batches, TRIE_BYTES):
             at, doc_ids = 0, batch.column(0)
             for run, of in encoded_runs(bpe, batch.column(1).to_pylist()):
-                counts, id_lists, texts, id_digests, text_digests = [], [], [], [], []
                 read = {p: " ".join([names[i] for i in memoryview(x).cast("i")]) for p, x in of.items()}
-                for text in run:
-                    words = pieces(text)
-                    packed = b"".join([of[w] for w in words])
-                    decoded = " ".join([read[w] for w in words])
-                    counts.append(len(packed) // 4)
-                    id_lists.append(pa.py_buffer(packed) if ids else None)
-                    texts.append(decoded if ids else None)
-                    id_digests.append(hashlib.sha256(packed).hexdigest())
-                    text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-                lists = pa.array([memoryview(x).cast("i").tolist() if x is not None else None for x in id_lists], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(at, len(run)), pa.array(counts, pa.int64()), lists, pa.array(texts, pa.string()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"],
-                )
-                at += len(run)
+                for some in runs(run, OUT_BYTES):
+                    split = [pieces(text) for text in some]
+                    yield out(doc_ids.slice(at, len(some)), [b"".join([of[w] for w in s]) for s in split], [" ".join([read[w] for w in s]) for s in split])
+                    at += len(some)
 
     return in_text_batches(docs).select("doc_id", "text").mapInArrow(
         step, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"

@@ -30,7 +30,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return encode_decode(table(spark, sf_dir, "documents"), path, ids=False).drop("ids", "decoded")
+    return encode_decode(table(spark, sf_dir, "documents"), path, ids=False, decoded=False).drop("ids", "decoded")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
