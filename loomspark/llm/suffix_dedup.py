@@ -12,7 +12,10 @@ the bytes in front that its strings can begin with.
 3. A loser tree merges the runs of a bucket. It compares known common prefixes
    first and bytes only behind them. Neighbours in the merged order that share
    a core are compared to the last byte, front and back.
-4. The batches get back which strings repeat, and remove them.
+4. A core that occurs more often than a task can compare goes another way: the
+   strings around it are counted by hash over all tasks, those counted twice by
+   their bytes.
+5. The batches get back which strings repeat, and remove them.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ def _hashes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             for key in np.unique(group):
                 found, times = np.unique(hashes[group == key], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), key, np.int64)), pa.array(found), pa.array(np.minimum(times, 2).astype(np.int32))],
+                    [pa.array(np.full(len(found), key, np.int64)), pa.array(found), pa.array(times.astype(np.int32))],
                     ["batch", "hash", "times"],
                 )
 
@@ -230,10 +233,11 @@ def repeats(group: list[tuple[bytes, bytes, int]], pairs: int) -> list[list[tupl
 
 
 def _runs(rows: pa.Table, flagged: pa.Table, buckets: int, bits: int) -> pa.Table:
-    """The front-coded runs of a batch, one for each bucket, and under bucket -1 where its suffixes are."""
+    """The front-coded runs of a batch, one for each bucket, one of hot cores under bucket -2, and under bucket -1 where its suffixes are."""
     out: list[tuple[int, int, bytes]] = []
     key = rows.column("batch")[0].as_py() if rows.num_rows else None
     wanted = np.unique(flagged.column("hash").to_numpy())
+    hot = set(flagged.filter(flagged.column("hot")).column("hash").to_pylist())
     if key is not None and len(wanted):
         _, row_no, data, borders = _unpacked(rows)
         low = row_no & ((1 << bits) - 1)
@@ -257,7 +261,7 @@ def _runs(rows: pa.Table, flagged: pa.Table, buckets: int, bits: int) -> pa.Tabl
                 if k is None:
                     k = numbers[entry] = len(times)
                     times.append(0)
-                    held.setdefault(h % buckets, []).append((*entry, k))
+                    held.setdefault(-2 if h in hot else h % buckets, []).append((*entry, k))
                 times[k] += 1
                 number[i] = k
             places.append(np.stack([number, low[start:stop][doc], at[found] - own[doc]]).astype(np.int32))
@@ -293,6 +297,62 @@ def _merged(rows: pa.Table, pairs: int) -> pa.Table:
     return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.int32()) for i in range(4)], ["batch", "number", "low", "high"])
 
 
+STRINGS = "hash long, string binary, times int, batch long, at int, numbers array<long>"
+
+
+def _strings(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The different strings around each hot core of a batch: hash and times, and if ``whole`` also bytes, anchor and suffixes.
+
+    ``batches`` has the batch and its run of hot cores. Only equal cores can be
+    in equal strings, so no more than the contexts of one are held at once.
+    """
+    out: list[tuple] = []
+
+    def full() -> pa.RecordBatch:
+        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["hash", "string", "times", "batch", "at", "numbers"])
+
+    def close(key: int, group: list[tuple[bytes, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        for a in range(WINDOW):
+            at: dict[bytes, list] = {}
+            for s, f, number, times in group:
+                if SPAN - len(s) <= a <= len(f):
+                    held = at.setdefault(f[:a][::-1] + s[: SPAN - a], [0, []])
+                    held[0] += times
+                    held[1].append(number)
+            for string, (times, numbers) in at.items():
+                digest = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+                out.append((digest, string, min(times, 2), key, a, numbers) if whole else (digest, None, min(times, 2), None, None, None))
+                if len(out) >= 4096:
+                    yield full()
+
+    for batch in batches:
+        for key, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            group: list[tuple[bytes, bytes, int, int]] = []
+            for suffix, shared, front, number, times in decoded(run):
+                if shared < CORE:
+                    yield from close(key, group)
+                    group = []
+                group.append((suffix, front, number, times))
+            yield from close(key, group)
+    if out:
+        yield full()
+
+
+def _hot_ranges(runs: DataFrame) -> DataFrame:
+    """The repeated strings around hot cores, as :func:`_merged` gives them; ``runs`` has the batches' runs of hot cores.
+
+    Both counts combine before they exchange. Hashes only choose the strings
+    whose bytes are looked at; a batch has one row for each of them.
+    """
+    twice = runs.mapInArrow(lambda x: _strings(x, False), STRINGS).groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash")
+    held = cut(runs.mapInArrow(lambda x: _strings(x, True), STRINGS).join(twice, "hash", "left_semi"))
+    same = held.groupBy("string").agg(F.sum("times").alias("n")).filter("n > 1").select("string")
+    found = held.join(same, "string", "left_semi")
+    return found.select("batch", F.explode("numbers").alias("number"), F.col("at").alias("low"), F.col("at").alias("high"))
+
+
 def _removed(rows: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     """The result rows of a batch. ``found`` has the batch's places in one row and ranges of repeats in the others."""
     doc_ids, row_no, data, borders = _unpacked(rows)
@@ -322,7 +382,7 @@ def _removed(rows: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, texts: bool = True, bits: int = 10, bucket_rows: int = 20_000, pairs: int = 24) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = True, bits: int = 10, bucket_rows: int = 20_000, pairs: int = 24, most: int = 20_000) -> DataFrame:
     """Every document without the bytes that a string of 200 bytes covers which also starts anywhere else.
 
     Returns doc_id, row_no, n_bytes, n_removed, n_spans (maximal removed runs),
@@ -333,18 +393,22 @@ def remove_repeats(docs: DataFrame, texts: bool = True, bits: int = 10, bucket_r
     gives no rows; other columns are ignored. ``docs`` has to be a
     deterministic scan, because its rows are numbered each time it is read. A
     batch is ``1 << bits`` documents, a bucket has ``bucket_rows`` suffixes on
-    average, ``pairs`` is how many are compared each with each.
+    average, ``pairs`` is how many are compared each with each, ``most`` how
+    often a core may occur whose contexts one task compares.
     """
     rows = in_text_batches(docs).select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
     seen = rows.select("row_no", "text").mapInArrow(lambda x: _hashes(x, bits), "batch long, hash long, times int")
     times = F.sum("times").over(Window.partitionBy("hash"))
-    flagged = cut(seen.withColumn("n", times).filter("n > 1").select("batch", "hash"))
-    buckets = max(1, -(-flagged.count() // bucket_rows))
+    flagged = cut(seen.withColumn("n", times).filter("n > 1").select("batch", "hash", (F.col("n") > most).alias("hot")))
+    counted = flagged.agg(F.count_if(~F.col("hot")).alias("few"), F.count_if("hot").alias("hot")).first()
+    buckets = max(1, -(-counted.few // bucket_rows))
     by_batch = rows.select("row_no", "text", "doc_id").mapInArrow(lambda x: _packed(x, bits), PACKED).groupBy("batch")
     runs = by_batch.cogroup(flagged.groupBy("batch")).applyInArrow(lambda a, b: _runs(a, b, buckets, bits), "bucket long, batch long, run binary")
     runs = cut(runs)
     ranges = runs.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda x: _merged(x, pairs), "batch long, number long, low int, high int")
-    places = runs.filter("bucket < 0").select("batch", F.lit(None).cast("long").alias("number"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), "run")
+    if counted.hot:
+        ranges = ranges.unionByName(_hot_ranges(runs.filter("bucket = -2").select("batch", "run")))
+    places = runs.filter("bucket = -1").select("batch", F.lit(None).cast("long").alias("number"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), "run")
     found = ranges.withColumn("run", F.lit(None).cast("binary")).unionByName(places)
 
     def finish(own: pa.Table, known: pa.Table) -> pa.Table:

@@ -4,8 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from loomspark.llm import suffix_dedup
 from loomspark.llm.suffix_dedup import LoserTree, decoded, front_coded, remove_repeats
 
 
@@ -52,6 +55,31 @@ def test_against_all_strings(spark, tmp_path, seed, bits, rows_of_bucket, pairs)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize(("seed", "bits", "most"), [(1, 10, 2), (2, 3, 8), (3, 4, 30)])
+def test_cores_of_many_contexts_against_all_strings(spark, tmp_path, seed, bits, most):
+    rnd = random.Random(seed)
+    text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    line, passage = text(100), text(260)
+    rows = corpus(seed) + [(1000 + i, text(rnd.randint(90, 200)) + (line, passage)[i % 5 == 0] + text(rnd.randint(90, 200))) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    got = remove_repeats(spark.read.parquet(f"{tmp_path}/docs"), True, bits, 50, 24, most).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_force(rows)
+
+
+def test_no_bucket_gets_a_hot_core():
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n)).encode()
+    line = text(190)
+    raw = [text(100) + line + text(100) for _ in range(50)]
+    data, borders = np.frombuffer(b"".join(raw), np.uint8), np.arange(51) * 390
+    hashes, times = np.unique(suffix_dedup.core_hashes(data, suffix_dedup.anchors(data, borders)[0]), return_counts=True)
+    packed = next(suffix_dedup._packed(iter([pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([t.decode() for t in raw]), pa.array(range(50))], ["row_no", "text", "doc_id"])]), 10))
+    flagged = pa.table({"batch": pa.array(np.zeros(len(hashes), np.int64)), "hash": pa.array(hashes), "hot": pa.array(times > 20)}).filter(pa.array(times > 1))
+    runs = suffix_dedup._runs(pa.Table.from_batches([packed]), flagged, 4, 10).to_pylist()
+    assert sum(1 for _ in decoded(next(r["run"] for r in runs if r["bucket"] == -2))) >= 50
+    assert all(sum(1 for _ in decoded(r["run"])) <= 20 for r in runs if r["bucket"] >= 0)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
