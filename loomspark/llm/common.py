@@ -61,6 +61,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, column: str) -> DataFrame:
+    """As :func:`cut`, dealt by ``column``, so that grouping by it moves no row again.
+
+    A checkpoint keeps how it is dealt only if the plan isn't adaptive.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), column))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row, written once to the shared folder and read from there.
+
+    A number is a place in a scan whose splits follow from the cores at hand,
+    so what is numbered in one job can't be numbered anew in another.
+    """
+    path = fresh_path(docs.sparkSession, "numbered")
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import cut, in_text_batches
+from loomspark.llm.common import cut, in_text_batches, numbered
 from loomspark.llm.components import components
 from loomspark.llm.rolling import Spans, flat, mix, slices, words
 
@@ -67,7 +67,7 @@ def signature(of: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, the digest of the shingle set and a hash for each band; both null for a text without words."""
+    """doc_id, row_no, the digest of the shingle set and a hash for each band; both null for a text without words."""
     factors = np.random.default_rng(seed).integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +86,11 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFra
                     mins = mix(signature(of, factors).astype(np.uint64) + salt).reshape(bands, rows)
                     keys.append(mix(mins.sum(1)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "set_id", "bands"],
+                    [batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "row_no", "set_id", "bands"],
                 )
 
-    return in_text_batches(docs).select("doc_id", "text").mapInArrow(step, "doc_id long, set_id binary, bands array<long>")
+    return in_text_batches(docs).select("doc_id", "text", "row_no").mapInArrow(step, "doc_id long, row_no long, set_id binary, bands array<long>")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
@@ -198,10 +198,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     Every linked pair is found with the probability ``recall`` at least, more
     with more similarity. Documents with a null id form classes too, but no
     class takes its name from them unless all are null. An empty table gives no
-    rows; other columns are ignored. ``docs`` has to be a deterministic scan,
-    because its rows are numbered each time it is read.
+    rows; other columns are ignored. ``docs`` is read once: its rows are
+    numbered and kept in the shared folder.
     """
-    own = cut(_numbered(docs, n, bands_for(threshold, recall, rows), rows, seed))
+    return classes_of(numbered(docs.select("doc_id", "text"), "row_no"), n, threshold, recall, rows, seed)
+
+
+def classes_of(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 8, seed: int = 11) -> DataFrame:
+    """What :func:`near_duplicates` gives, for rows that have a stored ``row_no``."""
+    own = cut(signed(docs, n, bands_for(threshold, recall, rows), rows, seed))
     sets = cut(
         own.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row_no").alias("rep"), F.count("*").alias("weight"), F.min_by("bands", "row_no").alias("bands"))
     )
@@ -235,18 +240,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     return rows_of.join(names, "root").select("doc_id", "row_no", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
 
-def _numbered(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """Signatures with a number for each row; the number is the row's place in the scan."""
-    return signed(docs, n, bands, rows, seed).withColumn("row_no", F.monotonically_increasing_id())
-
-
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of some rows, by their numbers."""
-    numbered = docs.select("text").withColumn("rep", F.monotonically_increasing_id())
-    return numbered.join(wanted, "rep", "left_semi")
+    return docs.select("text", F.col("row_no").alias("rep")).join(wanted, "rep", "left_semi")
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` of which no near copy stays: the first row of each class, with their columns as they are."""
-    stay = near_duplicates(docs, **how).filter("row_no = root").select(F.col("row_no").alias("_row_no"))
-    return docs.withColumn("_row_no", F.monotonically_increasing_id()).join(stay, "_row_no", "left_semi").select(*docs.columns)
+    rows = numbered(docs, "_row_no")
+    classes = classes_of(rows.select("doc_id", "text", F.col("_row_no").alias("row_no")), **how)
+    stay = classes.filter("row_no = root").select(F.col("row_no").alias("_row_no"))
+    return rows.join(stay, "_row_no", "left_semi").select(*docs.columns)

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import cut, in_text_batches
-from loomspark.llm.rolling import Spans, flat, mix, ranges_of, slices
+from loomspark.llm.common import cut, cut_by, in_text_batches
+from loomspark.llm.rolling import Spans, flat, mix, ranges_of
 
 #: Bytes of a repeat, places of a window (a power of two), bytes of a gram, and bytes behind any anchor that its strings hold.
 SPAN, WINDOW, GRAM = 200, 128, 8
@@ -68,21 +68,18 @@ def core_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return Spans(data).of(at, at + CORE).view(np.int64)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Distinct core hashes of each batch of documents, with their number."""
-    for batch in batches:
-        for start, stop in slices(batch.column(1), STEP_BYTES):
-            data, borders = flat(batch.column(1).slice(start, stop - start))
-            at, _, _ = anchors(data, borders)
-            own = batch.column(0).slice(start, stop - start).to_numpy() >> bits
-            group = own[np.searchsorted(borders, at, "right") - 1] if len(at) else at
-            hashes = core_hashes(data, at) if len(at) else at
-            for key in np.unique(group):
-                found, times = np.unique(hashes[group == key], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), key, np.int64)), pa.array(found), pa.array(times.astype(np.int32))],
-                    ["batch", "hash", "times"],
-                )
+def _hashes(rows: pa.Table) -> pa.Table:
+    """Core hashes of each batch of documents, with their number."""
+    key = rows.column("batch")[0].as_py()
+    _, _, data, borders = _unpacked(rows)
+    hashes = [np.zeros(0, np.int64)]
+    for start, stop in ranges_of(borders, STEP_BYTES):
+        some = data[borders[start] : borders[stop]]
+        at, _, _ = anchors(some, borders[start : stop + 1] - borders[start])
+        if len(at):
+            hashes.append(core_hashes(some, at))
+    found, times = np.unique(np.concatenate(hashes), return_counts=True)
+    return pa.table([pa.array(np.full(len(found), key, np.int64)), pa.array(found), pa.array(times.astype(np.int32))], ["batch", "hash", "times"])
 
 
 PACKED = "batch long, doc_ids array<long>, first long, size long, texts binary"
@@ -390,19 +387,19 @@ def remove_repeats(docs: DataFrame, texts: bool = True, bits: int = 10, bucket_r
     are judged on the input, overlaps within a document count, and no string
     crosses the end of a document. Null counts as empty; rows that repeat a
     text, with the same id or not, are repeats of each other. An empty table
-    gives no rows; other columns are ignored. ``docs`` has to be a
-    deterministic scan, because its rows are numbered each time it is read. A
-    batch is ``1 << bits`` documents, a bucket has ``bucket_rows`` suffixes on
+    gives no rows; other columns are ignored. ``docs`` is read once: its rows
+    are numbered, packed into batches and kept in the shared folder. A batch is ``1 << bits`` documents, a bucket has ``bucket_rows`` suffixes on
     average, ``pairs`` is how many are compared each with each, ``most`` how
     often a core may occur whose contexts one task compares.
     """
     rows = in_text_batches(docs).select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
-    seen = rows.select("row_no", "text").mapInArrow(lambda x: _hashes(x, bits), "batch long, hash long, times int")
+    packed = cut_by(rows.select("row_no", "text", "doc_id").mapInArrow(lambda x: _packed(x, bits), PACKED), "batch")
+    seen = packed.groupBy("batch").applyInArrow(_hashes, "batch long, hash long, times int")
     times = F.sum("times").over(Window.partitionBy("hash"))
     flagged = cut(seen.withColumn("n", times).filter("n > 1").select("batch", "hash", (F.col("n") > most).alias("hot")))
     counted = flagged.agg(F.count_if(~F.col("hot")).alias("few"), F.count_if("hot").alias("hot")).first()
     buckets = max(1, -(-counted.few // bucket_rows))
-    by_batch = rows.select("row_no", "text", "doc_id").mapInArrow(lambda x: _packed(x, bits), PACKED).groupBy("batch")
+    by_batch = packed.groupBy("batch")
     runs = by_batch.cogroup(flagged.groupBy("batch")).applyInArrow(lambda a, b: _runs(a, b, buckets, bits), "bucket long, batch long, run binary")
     runs = cut(runs)
     ranges = runs.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda x: _merged(x, pairs), "batch long, number long, low int, high int")

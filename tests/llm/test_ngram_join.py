@@ -63,6 +63,25 @@ def test_against_all_pairs(spark, monkeypatch, tmp_path, seed, changed, block):
     assert keep_one_of_each(docs).columns == docs.columns
 
 
+def test_splits_that_change_between_jobs(spark, monkeypatch, tmp_path):
+    rows = corpus(4, 3)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs, name = spark.read.parquet(f"{tmp_path}/docs"), "spark.sql.files.maxPartitionBytes"
+
+    def later(*links):
+        spark.conf.set(name, "4096")
+        return components(*links)
+
+    monkeypatch.setattr(ngram_join, "components", later)
+    try:
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(docs).collect()) == brute_force(rows)
+        spark.conf.unset(name)
+        classes = {r[0]: r[1] for r in brute_force(rows)}
+        assert sorted(classes[r.doc_id] for r in keep_one_of_each(docs).collect()) == sorted(set(classes.values()))
+    finally:
+        spark.conf.unset(name)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

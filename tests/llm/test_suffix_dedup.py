@@ -80,6 +80,18 @@ def test_no_bucket_gets_a_hot_core():
     assert all(sum(1 for _ in decoded(r["run"])) <= 20 for r in runs if r["bucket"] >= 0)
 
 
+def test_splits_that_change_between_jobs(spark, tmp_path):
+    rows = corpus(6)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/docs")
+    found = remove_repeats(spark.read.parquet(f"{tmp_path}/docs"), True, 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_force(rows)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
