@@ -155,13 +155,15 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, g: Graph = Graph())
     Returns query_id, rank, vec_id and score, the Euclidean distance in double
     precision; ties go to the smaller vec_id. Only vectors of a query's length
     are its candidates. Rows with a null id are no queries and no candidates,
-    and rows that repeat an id and its vector count once. Of equal vectors the
+    and rows that repeat an id and its vector count once, as queries too; an id
+    with several vectors is ranked once, by the nearest. Of equal vectors the
     k + 1 smallest ids can be among the nearest, so no more are kept. An empty
     table gives no rows; other columns are ignored.
     """
     good = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     own = Window.partitionBy("key").orderBy("vec_id")
-    keyed = good.distinct().withColumn("key", F.xxhash64("v"))
+    good = good.distinct()
+    keyed = good.withColumn("key", F.xxhash64("v"))
     few = keyed.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k + 1)
     nodes = cut(few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("size", F.size("v")))
     sizes = {r["size"]: r["n"] for r in nodes.groupBy("size").agg(F.count("*").alias("n")).collect()}
@@ -177,6 +179,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, g: Graph = Graph())
 
     found = dealt.groupBy("size", "shard").cogroup(asked.groupBy("size", "shard")).applyInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -198,5 +201,8 @@ def _search(held: pd.DataFrame, wanted: pd.DataFrame, k: int, g: Graph) -> pd.Da
             met = met[met >= 0]
             score = np.sqrt(((exact[met] - q) ** 2).sum(1))
             near = [(s, v) for s, node in zip(score.tolist(), met.tolist(), strict=True) for v in ids[node] if v != query]
-            out += [(int(query), int(v), s) for s, v in sorted(near)[:k]]
+            first: dict[int, float] = {}
+            for s, v in sorted(near):
+                first.setdefault(int(v), s)
+            out += [(int(query), v, s) for v, s in list(first.items())[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})

@@ -40,6 +40,18 @@ def test_recall_over_shards(spark):
         assert all(abs(dict(want[q])[i] - s) < 1e-12 for i, s in got[q] if i in dict(want[q]))
 
 
+def test_repeated_query_rows(spark):
+    rnd = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rnd.normal(size=4).astype(np.float32)], 0) for i in range(60)]
+    assert found(spark, rows + [rows[0], rows[0], rows[20], rows[7]], 20) == brute_force(rows, 20, 10)
+
+
+def test_id_with_two_vectors_is_ranked_once(spark):
+    rows = [(0, [0.0, 1.0], 0), (0, [0.0, 1.5], 0)] + [(i, [float(i), 1.0], 0) for i in range(1, 15)] + [(3, [3.0, 1.5], 0)]
+    got = found(spark, rows, 100)[0]
+    assert [v for v, _ in got] == list(range(1, 11))
+
+
 def test_odd_vectors_copies_and_ties(spark):
     rnd = random.Random(2)
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(0, 60)]
