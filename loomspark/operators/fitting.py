@@ -58,8 +58,8 @@ def best_permutation(rows: DataFrame, keys: Sequence[str], source: str, target:
     """Per group of up to ``most`` sources and as many targets the cheapest pairing, and whether it beats the straight one by the margin.
 
     Sources and targets go by their order; of several costs of a pair the least
-    counts, and of equally cheap pairings the first. A group that is larger,
-    isn't square or lacks a cost has nulls.
+    counts, and of equally cheap pairings the first. A group that isn't square or
+    lacks a cost has nulls; a larger one is an error.
     """
     held = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_set(source)).alias("_s"), F.array_sort(F.collect_set(target)).alias("_t"), F.collect_list(F.struct(F.col(source).alias("a"), F.col(target).alias("b"), F.col(cost).cast("double").alias("c"))).alias("_c")
@@ -67,6 +67,8 @@ def best_permutation(rows: DataFrame, keys: Sequence[str], source: str, target:
     cell = lambda s, t: F.array_min(F.transform(F.filter("_c", lambda c: (c["a"] == s) & (c["b"] == t)), lambda c: c["c"]))
     grid = F.flatten(F.transform("_s", lambda s: F.transform("_t", lambda t: cell(s, t))))
     held = held.withColumn("_g", grid).withColumn("_n", F.size("_s"))
+    bound = F.raise_error(F.concat(F.lit(f"a group is larger than the bound of {most}: "), F.col("_n").cast("string"))).cast("int")
+    held = held.withColumn("_n", F.when(F.greatest("_n", F.size("_t")) > most, bound).otherwise(F.col("_n")))
     square = (F.size("_t") == F.col("_n")) & ~F.exists("_g", lambda x: x.isNull())
     orders, straight = F.lit(None).cast("array<array<int>>"), F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), F.lit(0.0), lambda t, i: t + F.col("_g")[i * F.col("_n") + i])
     for n in range(1, most + 1):

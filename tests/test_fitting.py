@@ -1,6 +1,7 @@
 """Robust fits, assignments, masks, JSON and the store of states."""
 
 import hashlib
+import itertools
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import scalar
 from loomspark.operators import fitting
+from loomspark.queries import fits
 from loomspark.sources import states
 
 
@@ -24,6 +26,25 @@ def test_best_permutation(spark):
     assert (got.pairing, got.least, got.straight, got.swapped) == ([1, 0, 2], 0.0, 10.0, True)
 
 
+def test_best_permutation_of_a_group_over_the_bound(spark):
+    rows = [(1, a, b, 1.0) for a in range(3) for b in range(3)]
+    with pytest.raises(Exception, match="larger than the bound of 2"):
+        fitting.best_permutation(spark.createDataFrame(rows, "g int, a int, b int, c double"), ["g"], "a", "b", "c", 1.0, 2).collect()
+
+
+def test_identity_swaps_looks_at_every_order(spark, tmp_path):
+    prices = [1000.0, 9000.0, 1000.0, 9000.0, 5000.0, 5000.0, 90000.0, 1000.0, 7000.0]
+    rows = [(1, i, f"1995-01-{i + 1:02d}", p) for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderdate string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = fits.identity_swaps(spark, str(tmp_path)).orderBy("block").collect()
+    assert [(r.o_custkey, r.block, len(r.pairing)) for r in got] == [(1, 0, 4), (1, 1, 4), (1, 2, 1)]
+    for r in got:
+        own = prices[4 * r.block : 4 * r.block + 4]
+        cost = lambda p: sum(abs(own[a] - own[b] * (1.1 if a == b else 1.0)) / 1000 for a, b in enumerate(p))  # noqa: B023, E731
+        assert r.least == pytest.approx(min(map(cost, itertools.permutations(range(len(own))))), abs=1e-5)
+        assert r.straight == pytest.approx(cost(range(len(own))), abs=1e-5)
+
+
 def test_json(spark):
     rows = spark.createDataFrame([("x {no {\"b\": 1, \"a\": [2]} y",), ("none",), (None,)], "t string").select(fitting.first_json_object(F.col("t")).alias("j"))
     got = [tuple(r) for r in rows.select("j", fitting.canonical_digest(F.col("j")).alias("d")).collect()]
