@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import cut
+
 #: The frame of one message and the name of a speaker without one.
 OPEN, CLOSE, NOBODY = "<|im_start|>", "<|im_end|>\n", "unknown"
 
@@ -20,13 +22,60 @@ def _header(me: Column, name: Column) -> Column:
     return F.when(me, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
 
 
+def _parts(rows: DataFrame, part_turns: int) -> DataFrame:
+    """conv_id, part and the sorted messages of each part, of which none has more than ``part_turns``.
+
+    A part of more messages is cut by their ranks, and the parts behind it in
+    its conversation move up. Ranks take two steps, so no task sees a whole
+    conversation: how many messages each range holds, and places inside it.
+    Equal messages are one row with their number.
+    """
+    own = ["conv_id", "part"]
+    sizes = rows.groupBy(*own).agg(F.count("*").alias("n"))
+    crowded = cut(sizes.filter(F.col("n") > part_turns))
+    if crowded.isEmpty():
+        return rows.groupBy(*own).agg(F.array_sort(F.collect_list("message")).alias("messages"))
+
+    def here(*more: str):
+        same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+        for name in ("part", *more):
+            same = same & (F.col(name) == F.col(f"_{name}"))
+        return same
+
+    def named(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), *(F.col(c).alias(f"_{c}") for c in more))
+
+    whole = rows.join(named(crowded), here(), "left_anti").select(*own, F.lit(0).cast("long").alias("piece"), "message", F.lit(1).cast("long").alias("copies"))
+    different = rows.join(named(crowded), here(), "left_semi").groupBy(*own, "message").agg(F.count("*").alias("copies"))
+    ranged = cut(different.repartitionByRange(*own, "message").withColumn("at", F.spark_partition_id()))
+    totals = ranged.groupBy(*own, "at").agg(F.sum("copies").alias("held"))
+    starts = totals.withColumn("before", F.sum("held").over(Window.partitionBy(*own).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.sum("copies").over(Window.partitionBy(*own, "at").orderBy("message").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_inside"), F.lit(0))
+    placed = ranged.withColumn("_inside", inside).join(named(starts, "at", "before"), here("at")).withColumn("first", first)
+    ends = F.col("first") + F.col("copies")
+    piece = F.explode(F.sequence(F.expr(f"first DIV {part_turns}"), F.expr(f"(first + copies - 1) DIV {part_turns}")))
+    some = F.least(ends, (F.col("piece") + 1) * part_turns) - F.greatest("first", F.col("piece") * part_turns)
+    pieces = placed.withColumn("piece", piece).select(*own, "piece", "message", some.alias("copies"))
+    extra = F.when(F.col("n") > part_turns, F.expr(f"(n - 1) DIV {part_turns}")).otherwise(0)
+    moved = sizes.withColumn("move", F.sum(extra).over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).filter("move > 0")
+    held = whole.unionByName(pieces).groupBy(*own, "piece").agg(F.array_sort(F.collect_list(F.struct("message", F.col("copies").cast("int").alias("copies")))).alias("held"))
+    return held.join(named(moved, "move"), here(), "left").select(
+        "conv_id",
+        (F.col("part") + F.col("piece") + F.coalesce("_move", F.lit(0))).alias("part"),
+        F.flatten(F.transform("held", lambda m: F.array_repeat(m["message"], m["copies"]))).alias("messages"),
+    )
+
+
 def rotate_perspectives(turns: DataFrame, part_turns: int = 1000) -> DataFrame:
     """One row per conversation, participant and part with the dialogue as that participant's.
 
     Returns conv_id, speaker, part, n_turns, n_own, start, rendered, mask_starts
     and mask_ends (character offsets in ``rendered``, half open, one pair for
     each message of the speaker). A part holds the turns whose number divided
-    by ``part_turns`` is equal, so no conversation has to fit in one row, and
+    by ``part_turns`` is equal. Where those are more than ``part_turns``
+    messages (null or repeated numbers), they are cut into further parts, and
+    the parts behind count on, so no conversation has to fit in one row.
     ``start`` says how many characters the parts before it hold. Turns go by
     number, null first, then by role and text, so ties and repeated rows have
     one order and repeated rows stay. A null role is the participant
@@ -40,7 +89,7 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = 1000) -> DataFrame:
         F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part"),
         F.struct(F.col("turn"), name.alias("name"), F.coalesce(F.col("text"), F.lit("")).alias("said")).alias("message"),
     )
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("message")).alias("messages"))
+    parts = _parts(rows, part_turns)
     speakers = turns.select(F.col("conv_id").alias("_conv"), name.alias("speaker")).distinct()
     seen = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
     pieces = F.transform(

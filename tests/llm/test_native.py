@@ -57,6 +57,23 @@ def test_every_participant_is_the_assistant_once(spark):
     assert rotate_perspectives(turns.limit(0)).count() == 0
 
 
+def test_crowded_parts_are_cut(spark):
+    rows = [("a", None, "u", f"n{i % 7}") for i in range(23)] + [("a", 0, "v", "same")] * 11 + [("a", i, "w", str(i)) for i in range(12)]
+    rows += [(None, i % 5, "uv"[i % 2], f"t{i}") for i in range(40)] + [("b", i, "u", "x") for i in range(10)]
+    got = {}
+    for r in rotate_perspectives(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), 4).collect():
+        assert r.n_turns <= 4
+        got.setdefault((r.conv_id, r.speaker), []).append(r)
+    assert got.keys() == {(c, role) for c, _, role, _ in rows}
+    for (conv, me), parts in got.items():
+        parts.sort(key=lambda r: r.part)
+        assert len({p.part for p in parts}) == len(parts)
+        text, spans = render([r[1:] for r in rows if r[0] == conv], me)
+        assert "".join(p.rendered for p in parts) == text
+        assert [(p.start + a, p.start + b) for p in parts for a, b in zip(p.mask_starts, p.mask_ends, strict=True)] == spans
+    assert sorted(p.part for p in got["b", "u"]) == [0, 1, 2]
+
+
 ODD = [(5, "a", "s"), (9, "a", "s"), (7, "a", None), (1, None, "s"), (2, "", "t"), (3, " ", "t"), (None, "a", "s"), (None, "b", "s"), (4, "é", "s"), (6, "é", "s"), (8, "x" * 300_000, "u"), (10, "x" * 300_000, "u"), (9, "a", "s"), (11, "c", "s"), (11, "c", "s")]
 
 
