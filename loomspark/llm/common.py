@@ -21,24 +21,55 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-#: Rows of an Arrow batch of whole texts; a power of two.
-TEXT_BATCH = 1024
+#: Rows and bytes of an Arrow batch of whole texts; rows are a power of two.
+TEXT_BATCH, TEXT_BYTES = 1024, 16 << 20
 
 
 def in_text_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, whose texts Python gets in batches of ``TEXT_BATCH`` rows, unless the session asks for fewer.
+    """``docs``, whose texts Python gets in batches of ``TEXT_BATCH`` rows and ``TEXT_BYTES`` bytes, unless the session asks for fewer.
 
-    The default of 10,000 rows is made for numbers; with texts of some thousand
-    characters a batch would take tens of megabytes several times over. The
-    setting is the session's and holds for what it runs from now on.
+    The defaults of 10,000 rows and 64 MB are made for numbers; a batch of texts
+    is held several times over. One text that is longer is a batch of its own.
+    The settings are the session's and hold for what it runs from now on.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= TEXT_BATCH:
-        conf.set(name, str(TEXT_BATCH))
+    for name, most in (("maxRecordsPerBatch", TEXT_BATCH), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = conf.get(name, str(most + 1)).rstrip("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            conf.set(name, str(most))
     return docs
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1 and so on, and the new name of each old one.
+
+    Operators that return a table's own columns work on these names, so what
+    they add can't clash with a column of the table, whatever it is called.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+#: Into how many parts a key is dealt that may hold a large part of all rows.
+SALTS = 16
+
+
+def with_total(df: DataFrame, keys: list[str], by: str, first: Column, then: Column, name: str, wanted: str | None = None) -> DataFrame:
+    """``df`` with the aggregate ``name`` of its rows with the same keys, without a task that holds all rows of a key.
+
+    Rows of a key are dealt into ``SALTS`` parts by the column ``by``; the parts
+    are aggregated by ``first``, these by ``then``, and the result goes back to
+    the parts. With ``wanted``, only keys stay whose result meets it.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(*keys, "_part").agg(first.alias(name))
+    whole = parts.groupBy(*keys).agg(then.alias(name))
+    if wanted is not None:
+        whole = whole.filter(wanted)
+    return dealt.join(parts.select(*keys, "_part").join(whole, keys), [*keys, "_part"]).drop("_part")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD, cut, whole_text
+from loomspark.llm.common import WORD, by_place, cut, whole_text
 
 BITS, LEVELS, SALTS, SMALL = 12, 3, 64, 10_000
 
@@ -187,12 +187,18 @@ def keep_mixed(
     max_repeats: int = 3,
     seed: str = "mix",
 ) -> DataFrame:
-    """The documents of the mix with their columns as they are, each as often as the mix takes it."""
+    """The documents of the mix with all their columns as they are, whatever these are called, each as often as the mix takes it.
+
+    What nulls, empty texts, repeated ids and an empty table do is as in :func:`mix`.
+    """
     _, found = _planned(docs, weights, share, max_repeats, seed)
+    plain, names = by_place(docs)
+    placed = plain.withColumn("source", F.col(names["source"])).withColumn("_place", line_place(F.col(names["doc_id"]), seed))
     return (
-        _by_source(docs.withColumn("_place", line_place(F.col("doc_id"), seed)), found)
+        _by_source(placed, found)
         .withColumn("_repeats", _repeats(max_repeats))
         .filter("_repeats > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))))
-        .select(*docs.columns)
+        .select(*names.values())
+        .toDF(*docs.columns)
     )
