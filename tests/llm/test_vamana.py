@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from loomspark.llm import vamana
 from loomspark.llm.vamana import Graph, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
@@ -40,6 +41,20 @@ def test_recall_over_shards(spark):
         assert all(abs(dict(want[q])[i] - s) < 1e-12 for i, s in got[q] if i in dict(want[q]))
 
 
+def test_recall_of_real_vectors_in_eight_shards(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, 0) for r in table.collect()]
+    want, got = brute_force(rows, 20, 10), found(spark, rows, 20, Graph(shard_rows=250))
+    assert np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q]}) / 10 for q in want]) > 0.95
+
+
+def test_queries_in_chunks_and_uneven_shards(spark, monkeypatch):
+    monkeypatch.setattr(vamana, "CHUNK", 3)
+    rnd = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rnd.normal(size=3 + i % 2).astype(np.float32)], 0) for i in range(200)]
+    assert found(spark, rows, 4, Graph(shard_rows=9)) == brute_force(rows, 4, 10)
+
+
 def test_repeated_query_rows(spark):
     rnd = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rnd.normal(size=4).astype(np.float32)], 0) for i in range(60)]
