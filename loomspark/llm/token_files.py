@@ -1,9 +1,9 @@
 """Token files: ids of whole texts, compressed by Re-Pair grammars that can be read at any document.
 
 A shard holds the ids of some consecutive documents. In every round the
-frequent pairs of neighbouring ids are found in one pass over hash buckets and
-each is replaced by a nonterminal of its own; pairs never cross the end of a
-document. A shard stores its rules, the expansion length of each, the
+frequent pairs of neighbouring symbols are counted and each is replaced by a
+nonterminal of its own, until no pair is frequent; pairs never cross the end of
+a document. A shard stores its rules, the expansion length of each, the
 compressed ids and each document's place among them, so one document is
 decoded from its own slice and the rules alone.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.bpe import pieces, runs
 from loomspark.llm.common import in_text_batches
 
-BUCKET_BITS = 18
+#: Buckets in which pairs are counted before those of full buckets are counted exactly.
+BUCKET_BITS = 20
 #: Shards of a file format whose parts Spark's own Parquet writer and reader store.
 SHARD_SCHEMA = (
     "part int, shard int, n_tokens long, vocabulary int, doc_ids array<long>, doc_tokens array<int>, "
@@ -31,46 +32,60 @@ SHARD_SCHEMA = (
 )
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replaces frequent pairs round by round; ``ends`` are the documents' ends in ``ids``.
-
-    Returns the symbols, the documents' ends among them and the rules (one row
-    of two symbols for each nonterminal, the first of which is ``vocabulary``).
+def frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that occur ``least`` times, most frequent first, the places of their occurrences and which key each is; exact."""
+    bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+    maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least)
+    order = np.argsort(key[maybe], kind="stable")
+    held = key[maybe][order]
+    begins = np.flatnonzero(np.diff(held, prepend=-1))
+    counts = np.diff(begins, append=len(held))
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    names = np.full(len(begins), -1)
+    names[often] = np.arange(len(often))
+    of = np.empty(len(held), np.int64)
+    of[order] = np.repeat(names, counts)
+    return held[begins[often]], maybe[of >= 0], of[of >= 0]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replaces frequent pairs of neighbours by nonterminals until no pair occurs ``least`` times; ``ends`` are the documents' ends in ``ids``.
+
+    A round counts exactly the pairs that can have become frequent, those with
+    a symbol of the last round and those that were frequent and lost an overlap
+    in it, and replaces every frequent one. Returns the symbols, the documents'
+    ends among them and the rules (one row of two symbols for each nonterminal,
+    the first of which is ``vocabulary``).
     """
     symbols = ids.astype(np.int64)
     last = np.zeros(len(symbols), bool)
     last[ends[ends > 0] - 1] = True
+    look = ~last  # places whose pair may be frequent
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = symbols[:-1] << 32 | symbols[1:]
-        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        bucket[last[:-1]] = 1 << BUCKET_BITS  # no pair crosses a document's end
-        holder = np.full((1 << BUCKET_BITS) + 1, -1, np.int64)
-        holder[bucket] = key
-        holder[-1] = -1
-        held = holder[bucket] == key
-        counts = np.bincount(bucket[held], minlength=len(holder))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+    while len(symbols) > 1:
+        at = np.flatnonzero(look[:-1])
+        pairs, where, of = frequent(symbols[at] << 32 | symbols[at + 1], least)
+        if not len(pairs):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:pairs]]
-        names = np.full(len(holder), -1, np.int64)
-        names[often] = vocabulary + made + np.arange(len(often))
-        found = np.flatnonzero(held & (names[bucket] >= 0))
+        at = at[where]
         # Of pairs that overlap, each run of neighbours keeps the first, third and so on.
-        begins = np.flatnonzero(np.diff(found, prepend=-2) != 1)
-        run = np.repeat(begins, np.diff(begins, append=len(found)))
-        found = found[(np.arange(len(found)) - run) % 2 == 0]
-        rules.append(np.stack([holder[often] >> 32, holder[often] & 0xFFFFFFFF], 1))
-        made += len(often)
-        symbols[found] = names[bucket[found]]
+        begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        odd = (np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))) % 2
+        found, lost = at[odd == 0], at[odd == 1]
+        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
+        symbols[found] = vocabulary + made + of[odd == 0]
         last[found] = last[found + 1]
+        look = np.zeros(len(symbols), bool)
+        look[found] = look[lost + 1] = True
+        look[np.maximum(found, 1) - 1] = True
+        look[lost] = True
         keep = np.ones(len(symbols), bool)
         keep[found + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, look = symbols[keep], last[keep], look[keep]
+        look &= ~last
+        made += len(pairs)
     places = np.flatnonzero(last) + 1
     return symbols, places, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
@@ -184,12 +199,10 @@ def library_ids(path: str, texts: list[str], end: int, remembered: int = 300_000
     encoded once and remembered; twice ``remembered`` pieces is the most that a
     worker holds beside those of the texts.
     """
-    own, wanted = library(path), set()
-    for text in texts:
-        wanted.update(pieces(text))
-    own.prepare(wanted, remembered)
+    own, split = library(path), [pieces(text) for text in texts]
+    own.prepare(set().union(*split), remembered)
     of, closing = own.known.__getitem__, np.array([end], np.uint32).tobytes()
-    packed = [b"".join(map(of, pieces(t))) + closing for t in texts]
+    packed = [b"".join(map(of, words)) + closing for words in split]
     return np.frombuffer(b"".join(packed), np.uint32), np.array([len(x) // 4 for x in packed], np.int64)
 
 
@@ -199,15 +212,15 @@ def write_token_files(
     tokenizer_path: str,
     vocabulary: int,
     end: int = 1,
-    rounds: int = 4,
-    pairs: int = 2048,
     least: int = 48,
     shard_bytes: int = 4 << 20,
 ) -> None:
     """Writes the ids of every whole text, with ``end`` after each, in ascending doc_id order.
 
     The files are Parquet files of shards (``SHARD_SCHEMA``); a shard ends at
-    the first document that fills ``shard_bytes`` of text. Null ids come first,
+    the first document that fills ``shard_bytes`` of text, so a longer text is
+    the last of its shard. Pairs that occur ``least`` times in a shard get a
+    rule; all ids of a shard are in memory at once. Null ids come first,
     rows that repeat an id go by text. Null and empty texts are the end id
     alone. An empty table gives no shards; other columns are ignored.
     """
@@ -220,7 +233,7 @@ def write_token_files(
             doc_ids, at = batch.column(0), 0
             for run in runs(batch.column(1).to_pylist(), shard_bytes):
                 ids, sizes = library_ids(tokenizer_path, run, end)
-                symbols, places, rules = compress(ids, np.cumsum(sizes), vocabulary, rounds, pairs, least)
+                symbols, places, rules = compress(ids, np.cumsum(sizes), vocabulary, least)
                 wide = np.uint16 if vocabulary + len(rules) <= 1 << 16 else np.uint32
                 row = [part, shard, int(sizes.sum()), vocabulary, doc_ids.slice(at, len(run)).to_pylist(), sizes.tolist(), places.tolist()]
                 row += [rules.astype(np.uint32).tobytes(), lengths(rules, vocabulary).astype(np.uint32).tobytes(), symbols.astype(wide).tobytes()]
@@ -239,15 +252,34 @@ NAMES = [f.split()[0] for f in SHARD_SCHEMA.split(", ")]
 TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
 
 
-def decoded_documents(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
-    """The documents of a shard, each expanded from its own slice."""
+def decoded_documents(row: dict, wanted: list[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The documents of a shard, or those at some places in it, each expanded from its own slice and the rules."""
     rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
     grammar = Grammar(rules, np.frombuffer(row["rule_lengths"], np.uint32).astype(np.int64), row["vocabulary"])
     wide = np.uint16 if row["vocabulary"] + len(rules) <= 1 << 16 else np.uint32
-    symbols, start = np.frombuffer(row["symbols"], wide), 0
-    for doc_id, stop in zip(row["doc_ids"], row["doc_places"], strict=True):
-        yield doc_id, grammar.expand(symbols[start:stop]).astype(np.uint32)
-        start = stop
+    symbols, ends = np.frombuffer(row["symbols"], wide), [0, *row["doc_places"]]
+    for i in range(len(row["doc_ids"])) if wanted is None else wanted:
+        yield row["doc_ids"][i], grammar.expand(symbols[ends[i] : ends[i + 1]]).astype(np.uint32)
+
+
+def read_documents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and ids of the documents whose doc_id is in ``wanted``; of a shard only their slices are decoded.
+
+    Ids that aren't in the files give no rows, an id that the files have twice gives two. Null ids match nothing.
+    """
+    files = spark.read.schema(SHARD_SCHEMA).parquet(folder)
+    held = files.select("part", "shard", F.posexplode("doc_ids").alias("at", "doc_id"))
+    places = held.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("part", "shard").agg(F.array_sort(F.collect_list("at")).alias("at"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                docs = list(decoded_documents(row, row["at"]))
+                columns = [pa.array([d for d, _ in docs], pa.int64()), pa.array([len(x) for _, x in docs], pa.int64()), pa.array([x.tolist() for _, x in docs], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
+
+    return files.join(places, ["part", "shard"]).mapInArrow(step, "doc_id long, n_tokens long, ids array<long>")
 
 
 def read_token_files(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from loomspark.llm.bpe import WordBpe, encode_decode, pieces
-from loomspark.llm.token_files import compress, decoded_documents, lengths, library_ids, read_token_files, write_token_files
+from loomspark.llm.token_files import compress, decoded_documents, lengths, library_ids, read_documents, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -78,8 +78,11 @@ def test_grammar_round_trip(kinds):
     rnd = np.random.default_rng(kinds)
     sizes = rnd.integers(1, 40, 200)
     ids, ends = rnd.integers(0, kinds, sizes.sum()).astype(np.uint32), np.cumsum(sizes)
-    symbols, places, rules = compress(ids, ends, 100, 5, 20, 8)
+    symbols, places, rules = compress(ids, ends, 100, 8)
     assert len(rules) and len(symbols) < len(ids)
+    inside = np.ones(len(symbols) - 1, bool)
+    inside[places[:-1] - 1] = False
+    assert np.unique(np.stack([symbols[:-1], symbols[1:]])[:, inside], axis=1, return_counts=True)[1].max() < 8
     row = {
         "rules": rules.astype(np.uint32).tobytes(),
         "rule_lengths": lengths(rules, 100).astype(np.uint32).tobytes(),
@@ -107,6 +110,24 @@ def test_token_files(spark, library, tmp_path):
     assert not got
 
 
+def test_single_documents(spark, library, tmp_path):
+    rows = [(i % 300, t) for i, t in enumerate(texts())] + [(900, "the cat sat on the mat " * 20_000), (None, "no id")]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), f"{tmp_path}/files", PATH, 49_408, shard_bytes=5000, least=3)
+    wanted = spark.createDataFrame([(i,) for i in (0, 5, 5, 299, 900, 12345, None)], "doc_id long")
+    got = sorted((r.doc_id, r.ids) for r in read_documents(spark, f"{tmp_path}/files", wanted).collect())
+    assert got == sorted((i, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in rows if i in (0, 5, 299, 900))
+    every = read_token_files(spark, f"{tmp_path}/files", ids=False).collect()
+    assert sorted(r.doc_id is None or r.doc_id for r in every) == sorted(i is None or i for i, _ in rows)
+    assert sorted((r.start, r.n_tokens) for r in every)[-1] == (sum(r.n_tokens for r in every) - next(r.n_tokens for r in every if r.doc_id == 900), next(r.n_tokens for r in every if r.doc_id == 900))
+
+
+def test_repeated_rows_and_a_long_text_round_trip(spark, library):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, "It's a very long text, isn't it? " * 30_000)]
+    got = encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    want = [(i, library.encode(t, add_special_tokens=False).ids) for i, t in rows]
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_no_token_files_of_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     write_token_files(docs, f"{tmp_path}/none", PATH, 49_408)
