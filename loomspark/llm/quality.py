@@ -1,7 +1,7 @@
 """A quality classifier on supervised subword embeddings.
 
-Words, pairs of neighbouring words and runs of three and four bytes are hashed
-into buckets. Each bucket has a learned vector; a document is the mean of its
+Words, pairs of neighbouring words and runs of three and four characters are
+hashed into buckets. Each bucket has a learned vector; a document is the mean of its
 features' vectors, and a softmax over two classes scores it. Vectors and output
 are trained together by stochastic gradient descent in numpy. As the mean and
 the output are linear, scoring adds up one learned number per feature.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomspark.llm.common import in_text_batches
+from loomspark.llm.common import by_place, in_text_batches
 from loomspark.llm.rolling import Spans, flat, mix, slices, words
 
 #: Bytes of text that are turned into features at once.
@@ -42,18 +42,20 @@ class Settings:
 def features(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature the buckets, document after document, and the documents' borders among them.
 
-    The hash of a pair of words is taken from their hashes' difference, so a
+    Kinds are words, pairs of words, and runs of three and four characters,
+    white space included. The hash of a pair of words is taken from their hashes' difference, so a
     word that is said again after itself is one and the same feature.
     """
     data, borders = flat(texts)
     shift = np.uint64(64 - bits)
     bucket = lambda x: (mix(x) >> shift).astype(np.int32)
     starts, stops, first = words(data, borders)
-    word = Spans(data).of(starts, stops)
+    spans = Spans(data)
+    word = spans.of(starts, stops)
+    characters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     found = [(bucket(word), first)]
-    wide = data.astype(np.uint64)
-    for n, of, at in ((2, word, first), (3, None, borders), (4, None, borders)):
-        last = len(word if n == 2 else data) - n + 1
+    for n, at in ((2, first), (3, np.searchsorted(characters, borders)), (4, np.searchsorted(characters, borders))):
+        last = (len(word) if n == 2 else len(characters) - 1) - n + 1
         if last <= 0:
             found.append((np.zeros(0, np.int32), np.zeros_like(at)))
             continue
@@ -62,9 +64,9 @@ def features(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
             crossed = at[1:-1] - i
             inside[crossed[(crossed >= 0) & (crossed < last)]] = False
         if n == 2:
-            gram = of[1:] - of[:-1] + np.uint64(5)
+            gram = word[1:] - word[:-1] + np.uint64(5)
         else:
-            gram = sum(wide[i : last + i] << np.uint64(8 * i) for i in range(n)) + np.uint64(n << 40)
+            gram = spans.of(characters[:last], characters[n : n + last]) + np.uint64(n)
         places = np.concatenate([[0], np.cumsum(inside)])
         found.append((bucket(gram[inside]), places[np.minimum(at, last)]))
     return found
@@ -141,31 +143,40 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     return (np.frombuffer(model[0].weights, np.float32), model[0].offset) if model else (np.zeros(1 << s.bits, np.float32), 0.0)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Settings.bits) -> DataFrame:
-    """The columns of ``docs`` and ``score``, the probability of the label 1 from 0 to 1; null and empty texts have one too."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = Settings.bits, text: str = "text", name: str = "score") -> DataFrame:
+    """The columns of ``docs`` and ``name``, the probability of the label 1 from 0 to 1; null and empty texts have one too.
+
+    ``docs`` must not have a column ``name``.
+    """
     weights, offset = model
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(where)
             for start, stop in slices(texts, STEP_BYTES):
-                total, n = np.zeros(stop - start), np.zeros(stop - start, np.int64)
-                for ids, borders in features(texts.slice(start, stop - start), bits):
-                    sums = np.concatenate([[0.0], np.cumsum(weights[ids], dtype=np.float64)])
-                    total += sums[borders[1:]] - sums[borders[:-1]]
-                    n += np.diff(borders)
-                mean = np.round(total / np.maximum(1, n), 6)
-                scores = 1 / (1 + np.exp(-np.clip(mean + offset, -50, 50)))
+                scores = scored(texts.slice(start, stop - start), weights, offset, bits)
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns), pa.array(scores)], names)
 
-    where, names = docs.columns.index("text"), [*docs.columns, "score"]
-    return in_text_batches(docs).mapInArrow(step, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    where, names = docs.columns.index(text), [*docs.columns, name]
+    return in_text_batches(docs).mapInArrow(step, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def scored(texts: pa.Array, weights: np.ndarray, offset: float, bits: int) -> np.ndarray:
+    """The softmax of each text's mean, to six places of the mean so that the order of additions doesn't show."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for ids, borders in features(texts, bits):
+        sums = np.concatenate([[0.0], np.cumsum(weights[ids], dtype=np.float64)])
+        total += sums[borders[1:]] - sums[borders[:-1]]
+        n += np.diff(borders)
+    mean = np.round(total / np.maximum(1, n), 6)
+    return 1 / (1 + np.exp(-np.clip(mean + offset, -50, 50)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from ``threshold`` on) of every row.
 
-    Labels, lang, source and doc_id are no inputs of a score. Repeated rows
+    Labels, lang, source and doc_id are no inputs of a score. Null and empty
+    texts have one too, of very long texts every feature counts. Repeated rows
     stay; an empty table gives no rows; other columns are ignored.
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, s), s.bits)
@@ -173,7 +184,11 @@ def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), thres
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they are."""
-    numbered = docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs
-    kept = score(numbered, fit(docs, labels, s), s.bits).filter(F.col("score") >= threshold).drop("score")
-    return kept.withColumnRenamed("_own_score", "score") if "score" in docs.columns else kept
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns as they are, whatever these are called.
+
+    Null and empty texts have a score like others; repeated rows stay or go
+    together; an empty table gives no rows.
+    """
+    plain, names = by_place(docs)
+    kept = score(plain, fit(docs, labels, s), s.bits, names["text"]).filter(F.col("score") >= threshold)
+    return kept.drop("score").toDF(*docs.columns)

@@ -6,8 +6,10 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from loomspark.llm.quality import Settings, classify, features, keep_good
+from loomspark.llm.quality import Settings, classify, features, keep_good, scored, train
+from loomspark.llm.rolling import BASE, MIX_1, MIX_2
 from loomspark.llm.queries import queries
 
 SMALL = Settings(sample=400, bits=12, steps=150)
@@ -60,3 +62,74 @@ def test_features_stay_in_their_document():
         alone = [sorted(k.tolist()) for k, at in features(pa.array([text]), 12)]
         for k, (found, at) in enumerate(together):
             assert sorted(found[at[i] : at[i + 1]].tolist()) == (alone[k] if k < len(alone) else [])
+
+
+WORD64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * int(MIX_1) & WORD64
+    x = (x ^ x >> 27) * int(MIX_2) & WORD64
+    return x ^ x >> 31
+
+
+def plain_hash(data):
+    return plain_mix((sum((b + 1) * pow(BASE, i, 1 << 64) for i, b in enumerate(data)) + len(data) * int(MIX_2)) & WORD64)
+
+
+def plain_features(text, bits):
+    """The four kinds of buckets of one text, feature by feature."""
+    word = [plain_hash(w.encode()) for w in text.replace("\x0b", " ").replace("\x0c", " ").split()]
+    grams = [[plain_hash(text[i : i + n].encode()) + n for i in range(len(text) - n + 1)] for n in (3, 4)]
+    kinds = [word, [b - a + 5 for a, b in zip(word, word[1:])], *grams]
+    return [[plain_mix(x & WORD64) >> 64 - bits for x in kind] for kind in kinds]
+
+
+ODD = ["", None, "ab", "ab cd", "h\u00e9llo w\u00f6rld \u4e2d\u6587\u5b57 \U0001f600\U0001f600 x", "a a a b", "  x\ty\nz  ", "abc"]
+
+
+def test_features_one_by_one():
+    kinds = features(pa.array(ODD, pa.string()), 11)
+    for i, text in enumerate(ODD):
+        assert [found[at[i] : at[i + 1]].tolist() for found, at in kinds] == plain_features(text or "", 11)
+
+
+def test_scores_one_by_one():
+    weights = np.random.default_rng(2).normal(size=1 << 9).astype(np.float32)
+    got = scored(pa.array(ODD, pa.string()), weights, 0.25, 9)
+    for text, score in zip(ODD, got, strict=True):
+        ids = [x for kind in plain_features(text or "", 9) for x in kind]
+        mean = sum(float(weights[x]) for x in ids) / max(1, len(ids))
+        assert score == pytest.approx(1 / (1 + np.exp(-(mean + 0.25))), abs=1e-6)
+
+
+def test_steps_of_gradient_descent_one_by_one():
+    s = Settings(bits=4, size=3, steps=3, batch=2, rate=0.7, seed=5)
+    docs = [([0, 3], [0.25, 0.75], 1), ([3, 9, 15], [0.2, 0.4, 0.4], 0), ([1], [1.0], 1)]
+    rnd = np.random.default_rng(s.seed)
+    vectors, out, offset = rnd.uniform(-1 / 3, 1 / 3, (16, 3)), rnd.uniform(-1, 1, (3, 2)), np.zeros(2)
+    order = []
+    for step in range(3):
+        while len(order) < 2:
+            order += rnd.permutation(3).tolist()
+        some, order, rate = [docs[j] for j in order[:2]], order[2:], 0.7 * (1 - step / 3)
+        moves, out_move, offset_move = np.zeros_like(vectors), np.zeros_like(out), np.zeros(2)
+        for ids, share, label in some:
+            hidden = sum(w * vectors[i] for i, w in zip(ids, share, strict=True))
+            p = np.exp(hidden @ out + offset) / np.exp(hidden @ out + offset).sum()
+            p[label] -= 1
+            for i, w in zip(ids, share, strict=True):
+                moves[i] += w * (out @ p)
+            out_move += np.outer(hidden, p)
+            offset_move += p
+        vectors, out, offset = vectors - rate * 8 / 2 * moves, out - 0.02 * rate / 2 * out_move, offset - 0.02 * rate / 2 * offset_move
+    got, shift = train([(np.array(a, np.int32), np.array(b, np.float32), c) for a, b, c in docs], s)
+    assert got == pytest.approx(vectors @ (out[:, 1] - out[:, 0]), abs=1e-5) and shift == pytest.approx(offset[1] - offset[0], abs=1e-6)
+
+
+def test_columns_of_any_name(spark):
+    docs, labels, rows = docs_and_labels(spark)
+    more = docs.selectExpr("*", "doc_id AS _own_score", "text AS _score", "1 AS c0", "2 AS _row_no")
+    kept = keep_good(more, labels, SMALL)
+    assert kept.columns == more.columns
+    assert all(r._own_score == r.doc_id and r._score == r.text and (r.c0, r._row_no) == (1, 2) for r in kept.collect())
