@@ -5,10 +5,12 @@ import hashlib
 import duckdb
 import pytest
 
+from loomspark.llm import exact_dedup as exact
 from loomspark.llm import mixing, oracles, queries
 from loomspark.llm.chat import rotate_perspectives
 from loomspark.llm.exact_dedup import drop_copies, exact_dedup
 from loomspark.llm.mixing import keep_mixed, mix
+from loomspark.llm.ngram_join import keep_one_of_each
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -77,14 +79,15 @@ def test_crowded_parts_are_cut(spark):
 ODD = [(5, "a", "s"), (9, "a", "s"), (7, "a", None), (1, None, "s"), (2, "", "t"), (3, " ", "t"), (None, "a", "s"), (None, "b", "s"), (4, "é", "s"), (6, "é", "s"), (8, "x" * 300_000, "u"), (10, "x" * 300_000, "u"), (9, "a", "s"), (11, "c", "s"), (11, "c", "s")]
 
 
-@pytest.mark.parametrize(("fan_in", "rounds"), [(8, 2), (2, 3), (2, 1)])
-def test_exact_dedup_of_odd_rows(spark, tmp_path, fan_in, rounds):
-    spark.createDataFrame([(*r, 1, 2) for r in ODD], "doc_id long, text string, source string, run int, row_no int").repartition(3).write.parquet(f"{tmp_path}/d")
+@pytest.mark.parametrize(("fan_in", "bucket"), [(4, 2048), (2, 2), (3, 1)])
+def test_exact_dedup_of_odd_rows(spark, tmp_path, monkeypatch, fan_in, bucket):
+    monkeypatch.setattr(exact, "BUCKET", bucket)
+    spark.createDataFrame([(*r, 1, 2) for r in ODD], "doc_id long, text string, source string, run int, row_no int").repartition(7).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
     groups = {}
     for doc_id, text, _ in ODD:
         groups.setdefault(text or "", []).append(doc_id)
-    got = exact_dedup(docs, fan_in, rounds).collect()
+    got = exact_dedup(docs, fan_in).collect()
     assert len(got) == len(ODD)
     best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
     by_digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
@@ -92,11 +95,41 @@ def test_exact_dedup_of_odd_rows(spark, tmp_path, fan_in, rounds):
         t = by_digest[r.text_sha256]
         assert (r.keep_id, r.group_size) == (best[t], len(groups[t])) and (not r.kept or r.doc_id == best[t])
     assert sorted(by_digest[r.text_sha256] for r in got if r.kept) == sorted(groups)
-    kept = drop_copies(docs, fan_in, rounds)
+    kept = drop_copies(docs, fan_in)
     assert kept.columns == docs.columns and sorted(((r.text or "") for r in kept.collect())) == sorted(groups)
     assert exact_dedup(docs.limit(0)).count() == drop_copies(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_reads_its_table_once_and_splits_may_change(spark, tmp_path):
+    rows = [(i, f"text {i % 37}") for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(f"{tmp_path}/d")
+    name, docs = "spark.sql.files.maxPartitionBytes", spark.read.parquet(f"{tmp_path}/d")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set(name, "1000")
+        found, kept = exact_dedup(docs), drop_copies(docs)
+        spark.conf.set(name, "100000000")
+        got = found.collect()
+        assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, 463 + (i - 463) % 37, len(range(i % 37, 500, 37)), i >= 463) for i in range(500)}
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(463, 500))
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(i, "abcd"[i % 4] * 9 + " w" * (i % 5), "st"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = "_row_no _place _copy _low _passes _rest _repeats _salt _dealt _source _part row_no run rep c0 C1 score _own_score _score kept".split()
+    more = docs.selectExpr("*", *(f"doc_id AS `{c}`" for c in odd))
+    for keep in (drop_copies, keep_mixed, keep_one_of_each):
+        kept = keep(more)
+        assert kept.columns == more.columns
+        got = kept.collect()
+        assert got and all(r[c] == r.doc_id for r in got for c in odd) and {tuple(r)[:3] for r in got} <= set(rows)
+
+
 def targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}

@@ -1,13 +1,20 @@
 """The pipeline stage by stage against brute force."""
 
+import hashlib
+import re
+from collections import Counter
+
 import duckdb
 import public_tokenizers
 import pytest
+from test_native import targets
 from test_ngram_join import brute_force
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomspark.llm.mixing import mix
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,13 +55,20 @@ def test_one_of_each_group(stages):
     assert sorted(classes[r.doc_id] for r in stages[3][1]) == sorted(set(classes.values()))
 
 
-def test_mix(spark, stages):
-    docs = spark.createDataFrame(stages[3][1])
-    want = {r.doc_id: r.repeats for r in mix(docs).collect() if r.repeats}
-    got = {}
-    for r in stages[4][1]:
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
-    assert got == want
+def test_mix(stages):
+    docs = stages[3][1]
+    sizes, place = {}, {}
+    for r in docs:
+        sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+        place[r.doc_id] = int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:9], 16)
+    want = targets(sizes)
+    got = Counter(r.doc_id for r in stages[4][1])
+    for source, size in sizes.items():
+        own = sorted((r for r in docs if r.source == source), key=lambda r: place[r.doc_id])
+        most, taken = max(len(WORD.findall(r.text or "")) for r in own), sum(got[r.doc_id] * len(WORD.findall(r.text or "")) for r in own)
+        assert abs(taken - want[source]) <= most and taken <= 3 * size
+        repeats = [got[r.doc_id] for r in own]
+        assert repeats == sorted(repeats, reverse=True) and max(repeats) - min(repeats) <= 1  # a prefix of the hash line is taken once more
 
 
 def test_ids(stages):
@@ -68,3 +82,28 @@ def test_ids(stages):
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     assert sorted((r.doc_id, r.ids_sha256) for r in got.collect()) == sorted((r.doc_id, r.ids_sha256) for r in stages[5][1])
+
+
+def through_stages(spark, docs, top):
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, FOLDER).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+    return docs
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    assert through_stages(spark, spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0), tmp_path).count() == 0
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = duckdb.sql(f"SELECT doc_id FROM read_parquet('{FOLDER}/labels.parquet') WHERE quality = 1 ORDER BY doc_id LIMIT 1").fetchall()[0]
+    good = docs.filter(docs.doc_id == labels[0]).first()
+    odd = [(9001, None, None, None, None), (9002, "", "en", "x", 0), (None, good.text, None, None, 1), (None, None, None, None, None), (9003, (good.text + " ") * 3000, "en", "x", 1), tuple(good), tuple(good)]
+    every = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("row_no", F.lit(5)).withColumn("_place", F.lit("p")).withColumn("score", F.lit("s"))
+    got = through_stages(spark, every, tmp_path).collect()
+    assert len({r.doc_id for r in got}) > 50
+    mixed = spark.read.parquet(f"{tmp_path}/source_mix")
+    assert mixed.columns == every.columns and mixed.select("row_no", "_place", "score").distinct().collect() == [(5, "p", "s")]
+    texts = {r.text for r in spark.read.parquet(f"{tmp_path}/near_dedup").collect()}
+    assert len(texts) == spark.read.parquet(f"{tmp_path}/near_dedup").count()
