@@ -51,23 +51,23 @@ def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
-#: Into how many parts a key is dealt that may hold a large part of all rows.
+#: Into how many parts a key is dealt that may hold a large part of all rows; no more than an int has bits.
 SALTS = 16
 
 
-def with_total(df: DataFrame, keys: list[str], by: str, first: Column, then: Column, name: str, wanted: str | None = None) -> DataFrame:
+def with_total(df: DataFrame, keys: list[str], by: str, total: Column, name: str, wanted: str | None = None) -> DataFrame:
     """``df`` with the aggregate ``name`` of its rows with the same keys, without a task that holds all rows of a key.
 
-    Rows of a key are dealt into ``SALTS`` parts by the column ``by``; the parts
-    are aggregated by ``first``, these by ``then``, and the result goes back to
-    the parts. With ``wanted``, only keys stay whose result meets it.
+    Rows of a key are dealt into ``SALTS`` parts by the column ``by``. The
+    aggregate combines before it exchanges and notes which parts there are; it
+    goes back to each of them. With ``wanted``, only keys stay whose result meets it.
     """
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy(*keys, "_part").agg(first.alias(name))
-    whole = parts.groupBy(*keys).agg(then.alias(name))
+    whole = dealt.groupBy(*keys).agg(total.alias(name), F.bit_or(F.expr("shiftleft(1, _part)")).alias("_parts"))
     if wanted is not None:
         whole = whole.filter(wanted)
-    return dealt.join(parts.select(*keys, "_part").join(whole, keys), [*keys, "_part"]).drop("_part")
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("_parts").cast("long"), i) == 1)
+    return dealt.join(whole.select(*keys, name, F.explode(parts).alias("_part")), [*keys, "_part"]).drop("_part")
 
 
 def shared_folder(spark: SparkSession) -> str:

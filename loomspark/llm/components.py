@@ -36,7 +36,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
 
 
 def _with_lowest(edges: DataFrame) -> DataFrame:
-    return with_total(edges, ["u"], "v", F.min("v"), F.min("lowest"), "lowest")
+    return with_total(edges, ["u"], "v", F.min("v"), "lowest")
 
 
 def _sign(edges: DataFrame) -> tuple:

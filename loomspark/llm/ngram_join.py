@@ -29,7 +29,7 @@ from loomspark.llm.rolling import Spans, flat, mix, slices, words
 #: Bytes of text that are shingled at once, shingles hashed at once, and shingles that a block compares at once.
 STEP_BYTES, CHUNK, WIDTH = 1 << 20, 512, 4096
 #: Sets of a block of texts and their shingles at most (but for one set alone), sets of a block of signatures, and sets of a bucket that needs no blocks.
-BLOCK, BLOCK_SHINGLES, CROWD, FEW = 256, 1 << 20, 2048, 16
+BLOCK, BLOCK_SHINGLES, CROWD, FEW = 256, 1 << 20, 512, 16
 
 
 def chosen_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -316,7 +316,7 @@ def classes_of(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
         .agg(F.min("row_no").alias("rep"), F.count("*").alias("weight"), F.min("size").alias("size"), F.min_by("bands", "row_no").alias("bands"), F.collect_set("part").alias("parts"))
     )
     dealt = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    met = with_total(dealt, ["band", "key"], "rep", F.count("*"), F.sum("n"), "n", "n > 1").withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int"))
+    met = with_total(dealt, ["band", "key"], "rep", F.count("*"), "n", "n > 1").withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = met.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band",
@@ -339,7 +339,7 @@ def classes_of(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     )
     rows_of = own.select("doc_id", "row_no", "set_id", "part").join(named, ["set_id", "part"], "left")
     rows_of = cut(rows_of.select("doc_id", "row_no", F.coalesce("root", "row_no").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    return with_total(rows_of, ["root"], "row_no", F.min("doc_id"), F.min("class_id"), "class_id").select("doc_id", "row_no", "class_id", "n_links", "root")
+    return with_total(rows_of, ["root"], "row_no", F.min("doc_id"), "class_id").select("doc_id", "row_no", "class_id", "n_links", "root")
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
