@@ -11,6 +11,7 @@ decoded from its own slice and the rules alone.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,18 +36,27 @@ SHARD_SCHEMA = (
 def frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys that occur ``least`` times, most frequent first, the places of their occurrences and which key each is; exact."""
     bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
-    maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least)
-    order = np.argsort(key[maybe], kind="stable")
-    held = key[maybe][order]
+    maybe = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least)[bucket])
+    key, bucket = key[maybe], bucket[maybe]
+    held = np.sort(key)
     begins = np.flatnonzero(np.diff(held, prepend=-1))
     counts = np.diff(begins, append=len(held))
     often = np.flatnonzero(counts >= least)
-    often = often[np.argsort(-counts[often], kind="stable")]
-    names = np.full(len(begins), -1)
-    names[often] = np.arange(len(often))
-    of = np.empty(len(held), np.int64)
-    of[order] = np.repeat(names, counts)
-    return held[begins[often]], maybe[of >= 0], of[of >= 0]
+    pairs = held[begins[often]]
+    rank = np.empty(len(pairs), np.int64)
+    rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(pairs))
+    # Each bucket knows one of its frequent keys; the few others are looked up one by one.
+    known = np.full(1 << BUCKET_BITS, -1, np.int32)
+    at = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+    known[at] = np.arange(len(pairs))
+    of = known[bucket]
+    other = np.zeros(1 << BUCKET_BITS, bool)
+    other[at[known[at] != np.arange(len(pairs))]] = True
+    some = np.flatnonzero((of >= 0) & other[bucket]) if other.any() else np.zeros(0, np.int64)
+    of[some] = np.minimum(np.searchsorted(pairs, key[some]), len(pairs) - 1)
+    fits = np.flatnonzero(of >= 0)
+    fits = fits[pairs[of[fits]] == key[fits]]
+    return pairs[np.argsort(rank)], maybe[fits], rank[of[fits]]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +127,10 @@ class Grammar:
         return self.flat[np.repeat(self.starts[symbols] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+#: Marks that are a pre-token of their own behind letters; the apostrophe isn't, letters may follow it.
+MARKS = "".join(c for c in string.punctuation if c != "'")
+
+
 class Library:
     """The tokenizers library over distinct pieces, which a worker remembers up to a bound."""
 
@@ -138,23 +152,23 @@ class Library:
         """Sees to it that ``known`` has all these pieces."""
         if len(self.known) > remembered:
             self.before, self.known = self.known, {}
-        missing = wanted - self.known.keys()
-        again = missing & self.before.keys()
-        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        self.learn(list(missing - again))
+        missing = wanted.difference(self.known)
+        new = missing.difference(self.before)
+        self.known.update({piece: self.before[piece] for piece in missing - new})
+        self.learn(list(new))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces. One of letters, perhaps with stops behind, is a word and those stops, which many pieces share.
+        """Encodes pieces. One of letters, perhaps with marks behind, is a word and those marks, which many pieces share.
 
         Case is no matter to this tokenizer. Words are encoded many to a text,
         which is cut at their ends.
         """
         known, composed, words, other = self.known, [], set(), set()
         for piece in new:
-            bare = piece.rstrip(".,")
+            bare = piece.rstrip(MARKS)
             word = bare.lower() if bare.isascii() else bare
             if bare.lower().isalpha():
                 if word not in known:
