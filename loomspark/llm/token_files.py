@@ -169,17 +169,20 @@ class Library:
         known, composed, words, other = self.known, [], set(), set()
         for piece in new:
             bare = piece.rstrip(MARKS)
-            word = bare.lower() if bare.isascii() else bare
-            if bare.lower().isalpha():
-                if word not in known:
-                    words.add(word)
-                if word != piece:
-                    stops = piece[len(bare) :]
-                    composed.append((piece, word, stops))
-                    if stops and stops not in known:
-                        other.add(stops)
+            if bare.isascii():
+                word, plain = bare.lower(), bare.isalpha()
             else:
+                word, plain = bare, bare.lower().isalpha()
+            if not plain:
                 other.add(piece)
+                continue
+            if word not in known:
+                words.add(word)
+            if word != piece:
+                stops = piece[len(bare) :]
+                composed.append((piece, word, stops))
+                if stops and stops not in known:
+                    other.add(stops)
         every = list(words)
         for i in range(0, len(every), 5000):
             some = every[i : i + 5000]
@@ -188,17 +191,14 @@ class Library:
             if len(ends) != len(some) or ends[-1] != len(ids):
                 other.update(some)
                 continue
-            packed, start = ids.tobytes(), 0
-            for word, stop in zip(some, (4 * ends).tolist(), strict=True):
-                known[word] = packed[start:stop]
-                start = stop
+            packed, stops = ids.tobytes(), (4 * ends).tolist()
+            known.update({word: packed[start:stop] for word, start, stop in zip(some, [0, *stops[:-1]], stops, strict=True)})
         rest = list(other)
         for i in range(0, len(rest), 5000):
             for piece, ids in zip(rest[i : i + 5000], self.encode(rest[i : i + 5000]), strict=True):
                 known[piece] = np.array(ids, np.uint32).tobytes()
         known[""] = b""
-        for piece, word, stops in composed:
-            known[piece] = known[word] + known[stops]
+        known.update({piece: known[word] + known[stops] for piece, word, stops in composed})
 
 
 @lru_cache(maxsize=2)
