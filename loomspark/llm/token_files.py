@@ -110,16 +110,19 @@ def lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
 
 
 class Grammar:
-    """Rules laid out for expansion: any slice of symbols is expanded without the rest of its shard."""
+    """Rules laid out for expansion, all by one level at a time: any slice of symbols is expanded without the rest of its shard."""
 
     def __init__(self, rules: np.ndarray, sizes: np.ndarray, vocabulary: int):
         self.sizes = np.concatenate([np.ones(vocabulary, np.int64), sizes])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.arange(self.sizes.sum())
-        for i, (a, b) in enumerate(rules.tolist()):
-            at, cut, n = self.starts[vocabulary + i], self.sizes[a], self.sizes[vocabulary + i]
-            self.flat[at : at + cut] = self.flat[self.starts[a] : self.starts[a] + cut]
-            self.flat[at + cut : at + n] = self.flat[self.starts[b] : self.starts[b] + n - cut]
+        held = rules.astype(np.int64).ravel()
+        while (held >= vocabulary).any():
+            n = 1 + (held >= vocabulary)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            held = np.repeat(held, n)
+            wide = np.flatnonzero(held >= vocabulary)
+            held[wide] = rules[held[wide] - vocabulary, inner[wide]]
+        self.flat = np.concatenate([np.arange(vocabulary), held])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.sizes[symbols]
@@ -267,13 +270,18 @@ TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), p
 
 
 def decoded_documents(row: dict, wanted: list[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
-    """The documents of a shard, or those at some places in it, each expanded from its own slice and the rules."""
+    """The documents of a shard, or those at some places in it, each of these expanded from its own slice and the rules."""
     rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
     grammar = Grammar(rules, np.frombuffer(row["rule_lengths"], np.uint32).astype(np.int64), row["vocabulary"])
     wide = np.uint16 if row["vocabulary"] + len(rules) <= 1 << 16 else np.uint32
     symbols, ends = np.frombuffer(row["symbols"], wide), [0, *row["doc_places"]]
-    for i in range(len(row["doc_ids"])) if wanted is None else wanted:
-        yield row["doc_ids"][i], grammar.expand(symbols[ends[i] : ends[i + 1]]).astype(np.uint32)
+    if wanted is None:
+        ids, borders = grammar.expand(symbols).astype(np.uint32), np.concatenate([[0], np.cumsum(grammar.sizes[symbols])])[ends].tolist()
+        for doc_id, start, stop in zip(row["doc_ids"], borders[:-1], borders[1:], strict=True):
+            yield doc_id, ids[start:stop]
+    else:
+        for i in wanted:
+            yield row["doc_ids"][i], grammar.expand(symbols[ends[i] : ends[i + 1]]).astype(np.uint32)
 
 
 def read_documents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
