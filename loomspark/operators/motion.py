@@ -178,10 +178,10 @@ def shifted(rows: DataFrame, keys: Sequence[str], at: str, value: str, by: int)
     return rows.withColumn(value, F.when(early | F.lag(value, by).over(own).isNull(), F.first(value).over(whole)).otherwise(F.lag(value, by).over(own)))
 
 
-def stretched(rows: DataFrame, keys: Sequence[str], seconds: str, factor: float) -> DataFrame:
-    """Times moved away from the first one by a factor."""
-    origin = F.min(seconds).over(Window.partitionBy(*keys))
-    return rows.withColumn(seconds, origin + (F.col(seconds) - origin) * factor)
+def stretched(rows: DataFrame, keys: Sequence[str], time: str, factor: float) -> DataFrame:
+    """Times, as numbers, moved away from the first one by a factor."""
+    origin = F.min(time).over(Window.partitionBy(*keys))
+    return rows.withColumn(time, origin + (F.col(time) - origin) * factor)
 
 
 def over_limit(rows: DataFrame, keys: Sequence[str], at: str, value: str, low: Column, high: Column) -> DataFrame:

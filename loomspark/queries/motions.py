@@ -344,18 +344,18 @@ _U = lambda k: f"((CAST('0x' || substr(md5('9:' || event_id), {k}, 12) AS BIGINT
 
 
 @query(
-    f"""{E}, s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, epoch(ts) AS sec FROM e)
+    f"""{E}, s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, epoch_us(ts) AS us FROM e)
 SELECT event_id, round(CASE WHEN i < least(3, n - 1) OR lag(value, 3) OVER w IS NULL THEN first_value(value) {_OWN} ELSE lag(value, 3) OVER w END, 5) AS shifted,
-round((sec - min(sec) OVER (PARTITION BY user_id)) * 1.5, 4) AS seconds,
+CAST((us - min(us) OVER (PARTITION BY user_id)) * 1.5 AS DOUBLE) AS micros,
 round(CASE WHEN i = n - 1 THEN 111.0 ELSE value END, 5) AS beyond, round(value + sqrt(-2 * ln({_U(1)})) * cos(2 * 3.141592653589793 * {_U(13)}) * 0.05, 5) AS noisy
 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)"""
 )
 def corrupted_series(spark, d):
-    rows = _events(spark, d).withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("shifted", F.col("value")).withColumn("beyond", F.col("value"))
-    rows = motion.over_limit(motion.stretched(motion.shifted(rows, U, "i", "shifted", 3), U, "seconds", 1.5), U, "i", "beyond", F.lit(1.0), F.lit(101.0))
-    rows = rows.withColumn("seconds", F.col("seconds") - F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).over(motion.Window.partitionBy("user_id")))
+    rows = _events(spark, d).withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("shifted", F.col("value")).withColumn("beyond", F.col("value"))
+    rows = motion.over_limit(motion.stretched(motion.shifted(rows, U, "i", "shifted", 3), U, "micros", 1.5), U, "i", "beyond", F.lit(1.0), F.lit(101.0))
+    rows = rows.withColumn("micros", F.col("micros") - F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(motion.Window.partitionBy("user_id")))
     noisy = F.col("value") + motion.seeded_noise(F.col("event_id"), "9", 0.05)
-    return rows.select("event_id", F.round("shifted", 5).alias("shifted"), F.round("seconds", 4).alias("seconds"), F.round("beyond", 5).alias("beyond"), F.round(noisy, 5).alias("noisy"))
+    return rows.select("event_id", F.round("shifted", 5).alias("shifted"), "micros", F.round("beyond", 5).alias("beyond"), F.round(noisy, 5).alias("noisy"))
 
 
 @query(
