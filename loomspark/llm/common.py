@@ -60,7 +60,8 @@ def with_total(df: DataFrame, keys: list[str], by: str, total: Column, name: str
 
     Rows of a key are dealt into ``SALTS`` parts by the column ``by``. The
     aggregate combines before it exchanges and notes which parts there are; it
-    goes back to each of them. With ``wanted``, only keys stay whose result meets it.
+    goes back to each of them. With ``wanted``, only keys stay whose result meets
+    it. Keys must not be null.
     """
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     whole = dealt.groupBy(*keys).agg(total.alias(name), F.bit_or(F.expr("shiftleft(1, _part)")).alias("_parts"))
