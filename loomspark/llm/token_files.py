@@ -18,10 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe import pieces, runs
+from loomspark.llm.bpe import ODD, pieces, runs
 from loomspark.llm.common import in_text_batches
 
 #: Buckets in which pairs are counted before those of full buckets are counted exactly.
@@ -109,12 +110,18 @@ def lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return out
 
 
+def laid_out(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The entries ``which`` one after another, of those that lie in ``flat`` with these sizes."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Grammar:
     """Rules laid out for expansion, all by one level at a time: any slice of symbols is expanded without the rest of its shard."""
 
     def __init__(self, rules: np.ndarray, sizes: np.ndarray, vocabulary: int):
         self.sizes = np.concatenate([np.ones(vocabulary, np.int64), sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
         held = rules.astype(np.int64).ravel()
         while (held >= vocabulary).any():
             n = 1 + (held >= vocabulary)
@@ -125,9 +132,7 @@ class Grammar:
         self.flat = np.concatenate([np.arange(vocabulary), held])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        n = self.sizes[symbols]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.starts[symbols] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return laid_out(self.flat, self.sizes, symbols)
 
 
 #: Marks that are a pre-token of their own behind letters; the apostrophe isn't, letters may follow it.
@@ -135,73 +140,61 @@ MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
 class Library:
-    """The tokenizers library over distinct pieces, which a worker remembers up to a bound."""
+    """The tokenizers library over distinct words, which a worker remembers up to a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (self.tokenizer, self.plain):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        # Words of the letters a to z need no normaliser and no pattern.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        #: Pieces met lately and before; what isn't met again is forgotten.
+        #: Words met lately and before; what isn't met again is forgotten.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def prepare(self, wanted: set[str], remembered: int) -> None:
-        """Sees to it that ``known`` has all these pieces."""
+    def prepare(self, wanted: list[str], remembered: int) -> None:
+        """Sees to it that ``known`` has all these words."""
         if len(self.known) > remembered:
             self.before, self.known = self.known, {}
-        missing = wanted.difference(self.known)
-        new = missing.difference(self.before)
-        self.known.update({piece: self.before[piece] for piece in missing - new})
-        self.learn(list(new))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        new = []
+        for word in wanted:
+            if word not in self.known:
+                if word in self.before:
+                    self.known[word] = self.before[word]
+                else:
+                    new.append(word)
+        self.learn(new)
 
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces. One of letters, perhaps with marks behind, is a word and those marks, which many pieces share.
-
-        Case is no matter to this tokenizer. Words are encoded many to a text,
-        which is cut at their ends.
-        """
-        known, composed, words, other = self.known, [], set(), set()
-        for piece in new:
-            bare = piece.rstrip(MARKS)
-            if bare.isascii():
-                word, plain = bare.lower(), bare.isalpha()
+        """Encodes words, many to a text that is cut at their ends, and all else one by one."""
+        plain, letters, other = [], [], []
+        for word in new:
+            if word.isascii():
+                (plain if word.isalpha() and word.islower() else other).append(word)
             else:
-                word, plain = bare, bare.lower().isalpha()
-            if not plain:
-                other.add(piece)
-                continue
-            if word not in known:
-                words.add(word)
-            if word != piece:
-                stops = piece[len(bare) :]
-                composed.append((piece, word, stops))
-                if stops and stops not in known:
-                    other.add(stops)
-        every = list(words)
-        for i in range(0, len(every), 5000):
-            some = every[i : i + 5000]
-            ids = np.array(self.encode([" ".join(some)])[0], np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                other.update(some)
-                continue
-            packed, stops = ids.tobytes(), (4 * ends).tolist()
-            known.update({word: packed[start:stop] for word, start, stop in zip(some, [0, *stops[:-1]], stops, strict=True)})
-        rest = list(other)
-        for i in range(0, len(rest), 5000):
-            for piece, ids in zip(rest[i : i + 5000], self.encode(rest[i : i + 5000]), strict=True):
-                known[piece] = np.array(ids, np.uint32).tobytes()
-        known[""] = b""
-        known.update({piece: known[word] + known[stops] for piece, word, stops in composed})
+                (letters if word.lower().isalpha() else other).append(word)
+        for tokenizer, words in ((self.plain, plain), (self.tokenizer, letters)):
+            for i in range(0, len(words), 5000):
+                some = words[i : i + 5000]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(some) or ends[-1] != len(ids):
+                    other += some
+                    continue
+                packed, stops = ids.tobytes(), (4 * ends).tolist()
+                self.known.update({word: packed[start:stop] for word, start, stop in zip(some, [0, *stops[:-1]], stops, strict=True)})
+        for i in range(0, len(other), 5000):
+            some = other[i : i + 5000]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update({word: np.array(x.ids, np.uint32).tobytes() for word, x in zip(some, found, strict=True)})
 
 
 @lru_cache(maxsize=2)
@@ -209,18 +202,62 @@ def library(path: str) -> Library:
     return Library(path)
 
 
+def distinct_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different runs without white space, which of them follow one another in all texts, and each text's end among those."""
+    if any(map(ODD.search, texts)):
+        split = pa.array([pieces(text) for text in texts], pa.large_list(pa.large_string()))
+    else:
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends
+
+
+def strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, which makes an Arrow scalar of each value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def words_and_marks(distinct: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Different words, the word of each piece, the pieces that have marks behind it and those marks, which are words too.
+
+    A piece of letters, perhaps with marks behind, is a word and those marks,
+    which many pieces share; any other is a word as it is. Case is no matter to
+    this tokenizer.
+    """
+    bare = pc.utf8_rtrim(distinct, characters=MARKS)
+    plain = pc.and_(pc.string_is_ascii(bare), pc.ascii_is_alpha(bare))
+    whole, words = strings(distinct), strings(pc.if_else(plain, pc.ascii_lower(bare), bare))
+    for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+        if words[i].isascii() or not words[i].lower().isalpha():
+            words[i] = whole[i]
+    marked = [i for i, (piece, word) in enumerate(zip(whole, words, strict=True)) if len(piece) != len(word)]
+    words += [whole[i][len(words[i]) :] for i in marked]
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    return strings(coded.dictionary), of[: len(whole)], np.array(marked, np.int64), of[len(whole) :]
+
+
 def library_ids(path: str, texts: list[str], end: int, remembered: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts by the tokenizers library, each with the end id, and the documents' lengths.
 
     White space ends every token of this tokenizer, so each piece between is
-    encoded once and remembered; twice ``remembered`` pieces is the most that a
-    worker holds beside those of the texts.
+    encoded once, by its word and the marks behind; twice ``remembered`` words is
+    the most that a worker holds beside those of the texts.
     """
-    own, split = library(path), [pieces(text) for text in texts]
-    own.prepare(set().union(*split), remembered)
-    of, closing = own.known.__getitem__, np.array([end], np.uint32).tobytes()
-    packed = [b"".join(map(of, words)) + closing for words in split]
-    return np.frombuffer(b"".join(packed), np.uint32), np.array([len(x) // 4 for x in packed], np.int64)
+    own, (distinct, codes, ends) = library(path), distinct_pieces(texts)
+    words, word_of, marked, marks = words_and_marks(distinct)
+    own.prepare(words, remembered)
+    packed = [*map(own.known.__getitem__, words), b"", np.array([end], np.uint32).tobytes()]
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    # The pieces, each a word and marks or nothing, and last the end of a document.
+    halves = np.full((len(word_of) + 1, 2), len(words), np.int64)
+    halves[:-1, 0], halves[marked, 1], halves[-1, 0] = word_of, marks, len(words) + 1
+    flat = laid_out(np.frombuffer(b"".join(packed), np.uint32), sizes, halves.ravel())
+    sizes = sizes[halves].sum(1)
+    which = np.insert(codes.astype(np.int64), ends, len(word_of))
+    upto = np.concatenate([[0], np.cumsum(sizes[which])])[ends + np.arange(1, len(ends) + 1)]
+    return laid_out(flat, sizes, which), np.diff(upto, prepend=0)
 
 
 def write_token_files(

@@ -73,6 +73,17 @@ def test_pieces_of_the_library(library):
         assert ids[start:stop].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_pieces_of_any_signs(library):
+    rnd = random.Random(8)
+    signs = "abcXYZ'.,!é ÈßſKİΣς٣0<|>\x1c\x85\u3000\u200b\u0301"
+    given = ["".join(rnd.choices(signs, k=rnd.randrange(40))) for _ in range(2000)] + ["", "  ", "<|endoftext|>. a<|startoftext|>", "e\u0301a E\u0301A."]
+    for some in (given, [t for t in given if "\x1c" not in t], [""], []):
+        ids, sizes = library_ids(PATH, some, 1)
+        want = [library.encode(t, add_special_tokens=False).ids + [1] for t in some]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
 @pytest.mark.parametrize("kinds", [2, 3, 50])
 def test_grammar_round_trip(kinds):
     rnd = np.random.default_rng(kinds)
