@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 
@@ -81,18 +82,35 @@ def median_outliers(rows: DataFrame, keys: Sequence[str], at: str, value: str, r
 def non_maximum_suppression(rows: DataFrame, key: str, at: str, score: str, separation: int) -> DataFrame:
     """Greedily keeps the highest score, drops what is closer than ``separation``, and goes on; ties go to the earlier row.
 
-    The choice is sequential within an entity, so each entity is one pandas group.
+    ``at`` holds whole numbers; scores that are null or no number come last. The
+    highest row within ``separation`` is kept whatever else is, and what is left
+    on one side of it is no matter to the other side. So windows settle these
+    rows and cut each entity at them; only what lies between two of them is
+    chosen one row after another, in one pandas group.
     """
+    place, worth = F.col(at).cast("long"), F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    first = F.row_number().over(Window.partitionBy(key, at).orderBy(F.desc("_worth")))
+    found = rows.withColumn("_worth", worth).withColumn("_first", first).filter(F.col("_first") == 1).withColumn("_place", place)
+    order = Window.partitionBy(key).orderBy("_place")
+    around = order.rangeBetween(1 - separation, separation - 1)
+    rank = F.struct("_worth", -F.col("_place"))
+    found = found.withColumn("_peak", F.max(rank).over(around) == rank)
+    found = found.withColumn("_near", F.max("_peak").over(around)).filter(F.col("_peak") | ~F.col("_near"))
+    found = found.withColumn("_piece", F.sum(F.col("_peak").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_worth", "_place"], ascending=[False, True], ignore_index=True)
         taken: list[int] = []
-        places = pdf[at].tolist()
-        for i in pdf.assign(_minus=-pdf[score]).sort_values(["_minus", at]).index:
-            if all(abs(places[i] - places[j]) >= separation for j in taken):
-                taken.append(i)
-        return pdf.loc[sorted(taken, key=lambda i: places[i])]
-
-    return rows.groupBy(key).applyInPandas(lambda pdf: keep(pdf.reset_index(drop=True)), rows.schema)
+        chosen = []
+        for i, here in enumerate(pdf["_place"].tolist()):
+            n = bisect.bisect(taken, here)
+            if all(abs(here - other) >= separation for other in taken[max(n - 1, 0) : n + 1]):
+                taken.insert(n, here)
+                chosen.append(i)
+        return pdf.loc[chosen, names]
+
+    names = rows.columns
+    return found.groupBy(key, "_piece").applyInPandas(keep, rows.schema)
 
 
 def islands(rows: DataFrame, keys: Sequence[str], at: str, gap: int = 1) -> DataFrame:

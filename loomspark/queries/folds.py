@@ -16,14 +16,22 @@ def _arrays(spark, d):
 A = "WITH a AS (SELECT user_id, list(value ORDER BY ts, event_id) AS xs FROM events GROUP BY 1)"
 
 
-@query()
+@query(
+    f"""{A} SELECT user_id, list_transform(list_reduce(list_prepend([0.0::DOUBLE], list_transform(xs, lambda x: [(x - 45) / 10])), lambda path, s: list_concat(path, [greatest(-5, least(5, path[-1] + s[1]))]))[2:], lambda x: round(x, 4)) AS path FROM a"""
+)
 def clamped_walk(spark, d):
     """A walk whose place is clamped after every step."""
     steps = F.transform("xs", lambda x: (x - 45) / 10)
     return _arrays(spark, d).select("user_id", F.transform(sequences.clamped_walk(steps, 0.0, -5.0, 5.0), lambda x: F.round(x, 4)).alias("path"))
 
 
-@query()
+FOLLOW = "list_reduce(list_transform({0}, lambda x: [x]), lambda path, x: list_concat(path, [path[-1] + greatest(-10, least(10, x[1] - path[-1]))]))"
+
+
+@query(
+    f"""{A}, f AS (SELECT user_id, {FOLLOW.format('xs')} AS f, list_reverse({FOLLOW.format('list_reverse(xs)')}) AS b FROM a)
+SELECT user_id, list_transform(list_zip(f, b), lambda p: round((p[1] + p[2]) / 2, 4)) AS path FROM f"""
+)
 def rate_limiter(spark, d):
     """The values followed with steps of at most 10, forwards and backwards."""
     return _arrays(spark, d).select("user_id", F.transform(sequences.rate_limited(F.col("xs"), 10.0), lambda x: F.round(x, 4)).alias("path"))

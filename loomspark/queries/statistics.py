@@ -133,7 +133,31 @@ def weighted_line(spark, d):
     return learning.weighted_line(rows, ["l_returnflag"], "x", "y", "w").select("l_returnflag", F.round("slope", 4).alias("slope"))
 
 
-@query()
+def _moment(a, b):
+    """A sum over the other flags of products of standardised features, or of one and the target."""
+    return f"(p_{min(a, b)}{max(a, b)} - s_{a} * s_{b} / n) / sd_{a}" + (f" / sd_{b}" if b < 3 else "") + (" + 1" if a == b else "")
+
+
+def _minor(columns):
+    """The determinant of three columns of three names each."""
+    (a, b, c), (d, e, f), (g, h, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+
+_X = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+_PAIRS = [(a, b) for a in range(3) for b in range(a, 4)]
+_G = [[f"g_{min(a, b)}{max(a, b)}" for a in range(3)] for b in range(4)]
+_SOLVED = ", ".join(f"{_minor([_G[3] if j == k else _G[j] for j in range(3)])} / {_minor(_G[:3])} / sd_{k} AS c_{k + 1}" for k in range(3))
+
+
+@query(
+    f"""WITH t AS (SELECT l_returnflag, count(*)::DOUBLE AS n, {', '.join(f'sum({x}) AS s_{i}' for i, x in enumerate(_X))}, {', '.join(f'sum({_X[a]} * {_X[b]}) AS p_{a}{b}' for a, b in _PAIRS)} FROM lineitem GROUP BY 1),
+o AS (SELECT a.l_returnflag, sum(b.n) AS n, {', '.join(f'sum(b.s_{i}) AS s_{i}' for i in range(4))}, {', '.join(f'sum(b.p_{a}{b}) AS p_{a}{b}' for a, b in _PAIRS)} FROM t a JOIN t b ON a.l_returnflag <> b.l_returnflag GROUP BY 1),
+d AS (SELECT *, {', '.join(f'greatest(sqrt(greatest(p_{i}{i} / n - (s_{i} / n) * (s_{i} / n), 0)), 0.00000001) AS sd_{i}' for i in range(3))} FROM o),
+g AS (SELECT *, {', '.join(f'{_moment(a, b)} AS g_{a}{b}' for a, b in _PAIRS)} FROM d), c AS (SELECT *, {_SOLVED} FROM g),
+f AS (SELECT l_returnflag, s_3 / n - c_1 * s_0 / n - c_2 * s_1 / n - c_3 * s_2 / n AS c_0, c_1, c_2, c_3 FROM c)
+SELECT l_returnflag, round(avg(abs(c_0 + c_1 * l_quantity + c_2 * l_discount + c_3 * l_tax - l_extendedprice)), 4) AS mean_error, [round(any_value(c_0), 4), round(any_value(c_1), 4), round(any_value(c_2), 4), round(any_value(c_3), 4)] AS coefficients FROM lineitem JOIN f USING (l_returnflag) GROUP BY 1"""
+)
 def ridge_logo(spark, d):
     """Price by quantity, discount and tax, fitted without each return flag and tried on it: coefficients and mean absolute error."""
     features = ["l_quantity", "l_discount", "l_tax"]

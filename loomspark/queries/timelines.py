@@ -72,7 +72,15 @@ def median_outliers(spark, d):
     return series.median_outliers(_events(spark, d), ["user_id"], "i", "value", 4, 30.0).select("event_id", "outlier")
 
 
-@query()
+#: Greedy choice over the list r of [place, score] by score: a place is kept if none kept is nearer than {0}.
+KEPT = "list_reduce(list_transform(r, lambda x: [x]), lambda kept, x: CASE WHEN list_min(list_transform(kept, lambda k: abs(k[1] - x[1][1]))) >= {0} THEN list_concat(kept, x) ELSE kept END)"
+
+
+@query(
+    f"""{E}, s AS (SELECT user_id, i, value / greatest(median(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), 0.000001) AS ratio FROM e),
+g AS (SELECT user_id, list([i::DOUBLE, ratio] ORDER BY ratio DESC, i) AS r FROM s WHERE ratio > 2 GROUP BY 1), k AS (SELECT user_id, unnest({KEPT.format(5)}) AS x FROM g)
+SELECT user_id, CAST(x[1] AS BIGINT) AS i, round(x[2], 5) AS ratio FROM k"""
+)
 def spike_nms(spark, d):
     """Events above twice the median around them, the strongest of those within five rows of each other."""
     found = series.local_ratio(_events(spark, d), ["user_id"], "i", "value", 12, 1e-6, True).filter("ratio > 2")
@@ -80,7 +88,13 @@ def spike_nms(spark, d):
     return _rounded(kept, "ratio")
 
 
-@query()
+@query(
+    f"""{E}, d AS (SELECT user_id, i, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY i)) AS step, count(*) OVER (PARTITION BY user_id) - i AS n FROM e),
+s AS (SELECT user_id, i, n, round(sum(step) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING), 6) AS score FROM d),
+g AS (SELECT user_id, list([i::DOUBLE, score] ORDER BY score DESC, i) AS r FROM s WHERE n >= 10 GROUP BY 1), k AS (SELECT user_id, {KEPT.format(10)} AS x FROM g),
+t AS (SELECT user_id, unnest(x[1:2]) AS x, unnest(range(1, least(len(x), 2) + 1)) AS place FROM k)
+SELECT user_id, CAST(x[1] AS BIGINT) AS i, x[2] AS score, CAST(place AS INTEGER) AS place FROM t"""
+)
 def motion_topk(spark, d):
     """The two windows of ten events of each user with the largest steps, at least ten apart."""
     rows = _events(spark, d)

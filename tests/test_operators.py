@@ -144,6 +144,21 @@ def test_suppression_keeps_the_strongest(spark):
     assert sorted(r.i for r in series.non_maximum_suppression(rows, "k", "i", "s", 4).collect()) == [3, 9]
 
 
+def test_suppression_like_one_choice_after_another(spark):
+    rnd = random.Random(3)
+    rows = [(k, rnd.randrange(60), rnd.choice([None, math.nan, 1.0, 2.0, 2.0, 3.5, 7.0])) for k in range(12) for _ in range(rnd.choice([1, 8, 60]))]
+    rows += [(20, i, float(i)) for i in range(40)] + [(21, i, -float(i)) for i in range(40)] + [(22, 5, 1.0)] * 3
+    got = series.non_maximum_suppression(spark.createDataFrame(rows, "k int, i long, s double"), "k", "i", "s", 4)
+    want = []
+    for k in {r[0] for r in rows}:
+        taken = []
+        for worth, i in sorted((-(math.inf * -1 if s is None or math.isnan(s) else s), i) for q, i, s in rows if q == k):
+            if all(abs(i - j) >= 4 for j in taken):
+                taken.append(i)
+        want += [(k, i) for i in taken]
+    assert sorted((r.k, r.i) for r in got.collect()) == sorted(want)
+
+
 def test_donor_of_another_group(spark):
     rows = [(1, i, g) for i, g in enumerate("aabca")] + [(2, 0, "x"), (2, 1, "x")]
     got = {(r.k, r.i): r.donor for r in joins.next_of_another_group(spark.createDataFrame(rows, "k int, i int, g string"), ["k"], "i", "g").collect()}
