@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.ranking import ranked
+
 
 def mean_in_levels(rows: DataFrame, levels: Sequence[Sequence[str]], value: str, name: str = "mean") -> DataFrame:
     """A mean of means: the value is averaged per first level, these per second, and so on. Not a flat mean."""
@@ -44,12 +46,19 @@ def counts_over_domain(rows: DataFrame, column: str, domain: Sequence[str], keys
 
 
 def holm(rows: DataFrame, name: str, p: str, alpha: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Holm's step-down test: thresholds alpha / (m - rank + 1), and nothing is rejected after the first that isn't."""
+    """Holm's step-down test: thresholds alpha / (m - rank + 1), and nothing is rejected after the first that isn't.
+
+    A null p counts in m, ranks first and isn't tested. Without keys the whole table is ranked bin by bin, and one row tells where rejection ends.
+    """
+    limit = F.lit(alpha) / (F.col("m") - F.col("rank") + 1)
+    if not keys:
+        tested = ranked(rows, [F.col(p), F.col(name)], "rank", "m").withColumn("threshold", limit)
+        end = tested.filter(F.col(p) > F.col("threshold")).agg(F.min("rank").alias("_end"))
+        return tested.crossJoin(F.broadcast(end)).withColumn("rejected", F.when(F.col(p).isNotNull(), F.coalesce(F.col("rank") < F.col("_end"), F.lit(True)))).drop("_end")
     own = Window.partitionBy(*keys)
     order = own.orderBy(p, name)
-    ranked = rows.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(own))
-    limit = F.lit(alpha) / (F.col("m") - F.col("rank") + 1)
-    tested = ranked.withColumn("threshold", limit).withColumn("_ok", (F.col(p) <= F.col("threshold")).cast("int"))
+    tested = rows.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(own)).withColumn("threshold", limit)
+    tested = tested.withColumn("_ok", (F.col(p) <= F.col("threshold")).cast("int"))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return tested.withColumn("rejected", F.min("_ok").over(upto) == 1).drop("_ok")
 

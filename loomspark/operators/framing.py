@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.ranking import ranked
+
 RULES = ("terminal", "clamped", "short_tail", "merge_last_two", "drop_short")
 
 
@@ -63,8 +65,17 @@ def windows_with_phases(windows: DataFrame, phases: DataFrame, keys: Sequence[st
 
 
 def contiguous_shards(rows: DataFrame, order: Sequence[Column], shards: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Cuts the ordered rows into shards of equal size, the first ones with one row more."""
-    return rows.withColumn("shard", F.ntile(shards).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    """Cuts the ordered rows into shards of equal size, the first ones with one row more.
+
+    Without keys the whole table is ranked bin by bin, by the first of ``order``, a number or a time.
+    """
+    if keys:
+        return rows.withColumn("shard", F.ntile(shards).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    found = ranked(rows, order, "_rank", "_total").withColumn("_i", F.col("_rank") - 1)
+    size, more = F.expr(f"_total DIV {shards}"), F.col("_total") % shards
+    wide = more * (size + 1)
+    shard = F.when(F.col("_i") < wide, F.floor(F.col("_i") / (size + 1))).otherwise(more + F.floor((F.col("_i") - wide) / F.greatest(size, F.lit(1))))
+    return found.select(*rows.columns, shard.cast("int").alias("shard"))
 
 
 def shard_plan(total: Column, shards: int, start: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalar
-from loomspark.operators import aggregation, framing, gates, joins, learning, ledger, selection, series, splits
+from loomspark.operators import aggregation, framing, gates, joins, learning, ledger, ranking, selection, series, splits
 
 
 def one(spark, column):
@@ -159,6 +159,26 @@ def test_suppression_like_one_choice_after_another(spark):
     assert sorted((r.k, r.i) for r in got.collect()) == sorted(want)
 
 
+def test_ranks_of_a_whole_table(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([None, 1.0, 2.0, 2.0, 5.0, rnd.random(), math.nan])) for i in range(301)]
+    frame = spark.createDataFrame(rows, "i int, x double").repartition(5)
+    order = sorted(rows, key=lambda r: (r[1] is not None, math.inf if r[1] is None or math.isnan(r[1]) else r[1], r[0]))
+    for bins in (1, 7, 200):
+        got = ranking.ranked(frame, [F.col("x"), F.col("i")], "place", "n", bins).collect()
+        assert [r.i for r in sorted(got, key=lambda r: r.place)] == [i for i, _ in order]
+        assert sorted(r.place for r in got) == list(range(1, 302)) and {r.n for r in got} == {301}
+    assert ranking.ranked(frame.limit(0), [F.col("x"), F.col("i")]).count() == 0
+    for n, shards in ((301, 7), (3, 7), (14, 7)):
+        few = frame.filter(f"i < {n}")
+        cut = {r.i: r.shard for r in framing.contiguous_shards(few, [F.col("i")], shards).collect()}
+        assert cut == {r.i: r.shard for r in framing.contiguous_shards(few.withColumn("k", F.lit(1)), [F.col("i")], shards, ["k"]).collect()}
+    tests = spark.createDataFrame([(i, p) for i, p in enumerate([0.001, 0.01, 0.02, 0.9, 0.0005, None, 0.013])], "i int, p double")
+    for some in (tests, tests.filter("p < 0.002"), tests.limit(0)):
+        whole = {r.i: (r.rank, r.m, r.rejected) for r in aggregation.holm(some, "i", "p", 0.05).collect()}
+        assert whole == {r.i: (r.rank, r.m, r.rejected) for r in aggregation.holm(some.withColumn("k", F.lit(1)), "i", "p", 0.05, ["k"]).collect()}
+
+
 def test_donor_of_another_group(spark):
     rows = [(1, i, g) for i, g in enumerate("aabca")] + [(2, 0, "x"), (2, 1, "x")]
     got = {(r.k, r.i): r.donor for r in joins.next_of_another_group(spark.createDataFrame(rows, "k int, i int, g string"), ["k"], "i", "g").collect()}
