@@ -159,6 +159,13 @@ def test_suppression_like_one_choice_after_another(spark):
     assert sorted((r.k, r.i) for r in got.collect()) == sorted(want)
 
 
+def test_promotion_needs_number_mean_and_bound(spark):
+    bounds = spark.createDataFrame([("a", 10, 0.5, 0.1), ("b", 9, 0.5, 0.1), ("c", 10, 0.4, 0.1), ("d", 10, 0.5, 0.0), ("e", 10, 0.5, None)], "k string, n long, mean double, lower double")
+    required = spark.createDataFrame([(k,) for k in "abcdef"], "k string")
+    got = {r.k: r.passed for r in aggregation.promotion_matrix(bounds, required, ["k"], 10, 0.5).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": False}
+
+
 def test_ranks_of_a_whole_table(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice([None, 1.0, 2.0, 2.0, 5.0, rnd.random(), math.nan])) for i in range(301)]
