@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -122,3 +123,30 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+#: Bytes of texts of a block that goes to the driver and from there to every task.
+BLOCK_BYTES = 1 << 20
+
+
+def in_blocks(rows: DataFrame, text: str, most: int = BLOCK_BYTES) -> Iterator[list[Row]]:
+    """The rows of ``rows`` in blocks whose texts have at most ``most`` bytes together, or of one row.
+
+    For a stated set of queries or test items that all rows of a table are held
+    against, a block at a time. The rows are stored and numbered once; longer
+    texts than half a block are blocks of their own, and the others are dealt
+    into twice as many blocks until all are small enough. There is one empty
+    block if there are no rows.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
+    held = numbered(rows, "_block_row").withColumn("_long", size > most // 2)
+    few, n = held.filter("NOT _long"), 1
+    while True:
+        block = F.pmod(F.xxhash64("_block_row"), F.lit(n))
+        if (few.groupBy(block.alias("b")).agg(F.sum(size).alias("size")).agg(F.max("size")).first()[0] or 0) <= most:
+            break
+        n *= 2
+    for b in range(n):
+        yield few.filter(block == b).drop("_long", "_block_row").collect()
+    for row in held.filter("_long").drop("_long", "_block_row").toLocalIterator():
+        yield [row]

@@ -74,6 +74,79 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
+#: A to Z lower-cased; other capitals stay.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(@text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), i AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(@text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), s AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_all FROM d
+), q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(ws) AS term FROM i) GROUP BY ALL
+), p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term
+), m AS (SELECT r, doc_id, 25 + (75 * CAST(len(ws) AS BIGINT) * n_docs) // n_all AS m FROM d, s
+), c AS (
+  SELECT q.i, q.item_id, m.r, m.doc_id, CAST(sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL
+), k AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM c WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""".replace("@text", LOWER.format("text"))
+
+LEAKS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(@text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(@text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), s AS (SELECT item, ws, least(len(ws), 10) AS size FROM i WHERE len(ws) > 0
+), w AS (
+  SELECT DISTINCT item, size, array_to_string(list_slice(ws, p, p + size - 1), ' ') AS words
+  FROM (SELECT item, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM s)
+), g AS (
+  SELECT r, size, p, array_to_string(list_slice(ws, p, p + size - 1), ' ') AS words
+  FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM w) WHERE len(ws) >= size)
+), h AS (SELECT r, p, size, item FROM g JOIN w USING (size, words)
+), n AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + size)) AS place FROM h) GROUP BY r
+), t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+""".replace("@text", LOWER.format("text"))
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(@text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), t AS (SELECT r, lang, source, unnest(ws) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), x AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+), c AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(x.n, 0) AS n
+  FROM g JOIN k USING (lang) LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), s AS (SELECT lang, source, sum(n) AS group_n FROM c GROUP BY lang, source
+), p AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 1)) // (group_n + v) AS p, 1 + (1000000000::HUGEINT * (c.total + 1)) // (lang_n + v) AS q
+  FROM c JOIN s USING (lang, source) JOIN v USING (lang)
+), o AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), e AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value
+  FROM (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source) LEFT JOIN o USING (lang, source, item)
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), f AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
+SELECT lang, source, part, item, value, rank FROM f WHERE part = 'pair' OR rank <= 200
+""".replace("@text", LOWER.format("coalesce(text, '')"))
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT, "op7_exact_dedup": EXACT, "op8_source_mix": MIX}
+    return {"op1_chat_formatting": CHAT, "op7_exact_dedup": EXACT, "op8_source_mix": MIX, "op11_ranked_search": SEARCH, "op12_decontamination": LEAKS, "op13_source_divergence": DIVERGENCE}

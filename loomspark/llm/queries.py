@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.llm.bpe import encode_decode
 from loomspark.llm.chat import rotate_perspectives
 from loomspark.llm.common import fresh_path, table
+from loomspark.llm.decontaminate import decontaminate
+from loomspark.llm.divergence import divergence
 from loomspark.llm.exact_dedup import exact_dedup
 from loomspark.llm.mixing import mix
 from loomspark.llm.ngram_join import near_duplicates
 from loomspark.llm.quality import classify
 from loomspark.llm.suffix_dedup import remove_repeats
+from loomspark.llm.threshold_search import search
 from loomspark.llm.token_counts import count_tokens
 from loomspark.llm.token_files import read_token_files, write_token_files
 from loomspark.llm.vamana import nearest
@@ -63,6 +67,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, ids=False).drop("ids")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), texts=False)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -75,4 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_nearest_vectors": op9_nearest_vectors,
         "op10_token_files": op10_token_files,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_decontamination": op12_decontamination,
+        "op13_source_divergence": op13_source_divergence,
     }

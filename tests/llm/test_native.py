@@ -22,7 +22,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     found, want = queries.queries()[name](spark, FOLDER), duck.sql(oracles.oracle_sql()[name])
     order = sorted(found.columns)
