@@ -1,11 +1,9 @@
-"""Grouped statistics: means in levels, step-down tests, robust limits, bootstraps."""
+"""Grouped statistics: means in levels, step-down tests, robust limits, agreement."""
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,34 +95,6 @@ def agreement(rows: DataFrame, key: str, rater: str, fields: Sequence[str], rate
     return found.filter(F.col("_raters") == raters).drop("_raters").withColumn("needs_review", ~agrees)
 
 
-def paired_bootstrap(rows: DataFrame, keys: Sequence[str], unit: str, gain: str, iterations: int, confidence: float, seed: int, most_units: int = 1_000_000) -> DataFrame:
-    """Lower bound of the mean gain per group, by resampling units with Python's generator.
-
-    Gains of one unit are averaged first, in Spark, so a task gets one number
-    per unit. n, mean, lower and p (the share of resampled means that aren't
-    above 0, with one added to both counts). A group of one unit has a null
-    bound. Units go by their name; more than ``most_units`` in one group raise.
-    """
-    means = rows.groupBy(*keys, unit).agg(F.avg(gain).alias("_gain"))
-    fields = {f.name: f.dataType.simpleString() for f in means.schema.fields}
-    schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), "n long", "mean double", "lower double", "p double"])
-
-    def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(unit)["_gain"].tolist()
-        n = len(values)
-        if n > most_units:
-            raise ValueError(f"{key} has {n} units")
-        lower = p = None
-        if n > 1:
-            rnd = random.Random(seed)
-            found = sorted(sum(values[rnd.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
-            lower = found[max(0, int((1 - confidence) * iterations) - 1)]
-            p = (sum(m <= 0 for m in found) + 1) / (iterations + 1)
-        return pd.DataFrame([[*key, n, sum(values) / n, lower, p]], columns=[*keys, "n", "mean", "lower", "p"])
-
-    return means.groupBy(*keys).applyInPandas(resample, schema)
-
-
 def promotion_matrix(bounds: DataFrame, required: DataFrame, keys: Sequence[str], least_n: int, least_mean: float) -> DataFrame:
     """Required cells with whether each has enough units, a large enough mean and a lower bound above 0; missing cells fail."""
     joined = required.join(bounds, list(keys), "left")

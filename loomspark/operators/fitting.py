@@ -1,4 +1,4 @@
-"""Estimates that iterate or enumerate inside one group: robust lines, resampled scales, assignments."""
+"""Estimates that iterate or enumerate inside one group: robust lines, assignments."""
 
 from __future__ import annotations
 
@@ -41,19 +41,6 @@ def huber_line(rows: DataFrame, keys: Sequence[str], x: str, y: str, delta: floa
     return rows.select(*keys, x, y).groupBy(*keys).applyInPandas(fit, f"{_types(rows, keys)}, slope double, intercept double, n long")
 
 
-def resampled_scale(rows: DataFrame, keys: Sequence[str], stratum: str, value: str, iterations: int, seed: int) -> DataFrame:
-    """Median of a group and the sample deviation of medians over resamples inside every stratum, relative to it."""
-
-    def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rnd = np.random.default_rng(seed)
-        strata = [np.sort(g[value].to_numpy(float)) for _, g in sorted(pdf.groupby(stratum), key=lambda kv: kv[0])]
-        middle = float(np.median(np.concatenate(strata)))
-        found = [np.median(np.concatenate([s[rnd.integers(0, len(s), len(s))] for s in strata])) for _ in range(iterations)]
-        return pd.DataFrame([[*key, middle, float(np.std(found, ddof=1) / middle) if middle else None]], columns=[*keys, "median", "relative"])
-
-    return rows.select(*keys, stratum, value).groupBy(*keys).applyInPandas(resample, f"{_types(rows, keys)}, median double, relative double")
-
-
 def best_permutation(rows: DataFrame, keys: Sequence[str], source: str, target: str, cost: str, margin: float, most: int = 6) -> DataFrame:
     """Per group of up to ``most`` sources and as many targets the cheapest pairing, and whether it beats the straight one by the margin.
 

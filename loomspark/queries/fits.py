@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalar
-from loomspark.operators import fitting, selection
+from loomspark.operators import fitting, resampling, selection
 from loomspark.queries import query, read
 
 R = "e[1]::DOUBLE AS r, e[2]::DOUBLE AS p, e[3]::DOUBLE AS y"
@@ -41,10 +41,17 @@ def huber_fit(spark, d):
     return found.select("l_linestatus", "part", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
 
 
-@query()
+@query(
+    """WITH n AS (SELECT user_id, event_type, value, row_number() OVER w - 1 AS number, count(*) OVER (PARTITION BY user_id, event_type) AS units FROM events
+  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY substr(md5(CAST(event_id AS VARCHAR)), 1, 2), event_id)),
+d AS (SELECT user_id, event_type, round, CAST('0x' || substr(md5('5:' || round || ':' || number || ':' || user_id || ':' || event_type), 1, 13) AS BIGINT) % units AS picked FROM n, range(100) r(round)),
+m AS (SELECT d.user_id, round, median(value) AS m FROM d JOIN n ON n.user_id = d.user_id AND n.event_type = d.event_type AND number = picked GROUP BY 1, 2),
+s AS (SELECT user_id, stddev_samp(m) AS s FROM m GROUP BY 1), w AS (SELECT user_id, median(value) AS median FROM events GROUP BY 1)
+SELECT user_id, round(median, 6) AS median, round(s / median, 6) AS relative FROM w JOIN s USING (user_id)"""
+)
 def stratified_scale(spark, d):
     """The median value of each user and how much it varies over resamples inside every kind of event."""
-    found = fitting.resampled_scale(read(spark, d, "events"), ["user_id"], "event_type", "value", 100, 5)
+    found = resampling.resampled_scale(read(spark, d, "events"), ["user_id"], "event_type", "event_id", "value", 100, 5)
     return found.select("user_id", F.round("median", 6).alias("median"), F.round("relative", 6).alias("relative"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalar
-from loomspark.operators import aggregation, learning
+from loomspark.operators import aggregation, learning, resampling
 from loomspark.queries import query, read
 
 
@@ -172,22 +172,77 @@ def _gains(spark, d):
     return read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("arm"), "l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_discount") - F.col("l_tax")).alias("gain"))
 
 
-@query()
+_BOUNDS = """n AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY substr(md5(unit), 1, 2), unit) - 1 AS number, count(*) OVER (PARTITION BY arm) AS units FROM u),
+d AS (SELECT arm, round, CAST('0x' || substr(md5('42:' || round || ':' || number || ':' || arm), 1, 13) AS BIGINT) % units AS picked FROM n, range(500) r(round)),
+m AS (SELECT d.arm, round, avg(gain) AS mean FROM d JOIN n ON n.arm = d.arm AND number = picked GROUP BY 1, 2),
+b AS (SELECT arm, list_sort(list(mean))[25] AS lower, (count_if(mean <= 0) + 1) / 501 AS p, count_if(mean > 0) / 500 AS above FROM m GROUP BY 1),
+w AS (SELECT arm, count(*) AS n, avg(gain) AS mean FROM u GROUP BY 1),
+r AS (SELECT arm, n, round(mean, 9) AS mean, CASE WHEN n > 1 THEN round(lower, 9) END AS lower, CASE WHEN n > 1 THEN round(p, 9) END AS p, CASE WHEN n > 1 THEN round(above, 9) END AS above FROM w JOIN b USING (arm))"""
+_TRIALS = "SELECT l_suppkey % 5 AS arm, CAST(l_suppkey AS VARCHAR) AS unit, avg(l_discount - l_tax) AS gain FROM lineitem GROUP BY 1, 2"
+_CLUSTERS = f"SELECT arm, CAST(CAST(unit AS BIGINT) % 17 AS VARCHAR) AS unit, avg(gain) AS gain FROM ({_TRIALS}) GROUP BY 1, 2"
+
+
+def _bounds(rows, unit):
+    found = resampling.bootstrap_bounds(rows, ["arm"], unit, "gain", 500, 0.95, 42)
+    return found.select("arm", "n", *(F.round(c, 9).alias(c) for c in ("mean", "lower", "p", "above")))
+
+
+@query(f"WITH u AS ({_TRIALS}), {_BOUNDS} SELECT * FROM r")
 def bootstrap_pair(spark, d):
-    """Lower bound of the mean gain per return flag, trials being suppliers."""
-    return aggregation.paired_bootstrap(_gains(spark, d), ["arm"], "l_suppkey", "gain", 500, 0.95, 42)
+    """Lower bound of the mean gain per arm, trials being suppliers."""
+    return _bounds(_gains(spark, d), "l_suppkey")
 
 
-@query()
+@query(f"WITH u AS ({_CLUSTERS}), {_BOUNDS} SELECT * FROM r")
 def bootstrap_cluster(spark, d):
     """The same over clusters of suppliers, gains averaged in each supplier and then in each cluster."""
     rows = _gains(spark, d).groupBy("arm", "l_suppkey").agg(F.avg("gain").alias("gain")).withColumn("cluster", F.col("l_suppkey") % 17)
-    return aggregation.paired_bootstrap(rows, ["arm"], "cluster", "gain", 500, 0.95, 42)
+    return _bounds(rows, "cluster")
 
 
-@query()
+@query(f"WITH u AS ({_TRIALS}), {_BOUNDS} SELECT a.arm, n, mean, lower, p, above, coalesce(n >= 10 AND mean >= 0.005 AND lower > 0, false) AS passed FROM range(7) a(arm) LEFT JOIN r ON r.arm = a.arm")
 def promotion_matrix(spark, d):
-    """Every arm and one that nobody measured against the least number, mean and bound."""
-    bounds = aggregation.paired_bootstrap(_gains(spark, d), ["arm"], "l_suppkey", "gain", 500, 0.95, 42)
+    """Every arm and two that nobody measured against the least number, mean and bound."""
     required = spark.range(7).select(F.col("id").alias("arm"))
-    return aggregation.promotion_matrix(bounds, required, ["arm"], 10, 0.005)
+    return aggregation.promotion_matrix(_bounds(_gains(spark, d), "l_suppkey"), required, ["arm"], 10, 0.005)
+
+
+@query(
+    """WITH o AS (SELECT o_orderpriority AS arm, 'g' || CAST(o_orderkey % 12 AS VARCHAR) AS unit, o_orderdate >= '1998-04-01' AS late, o_totalprice / 100000 * CASE WHEN o_orderpriority < '3' AND o_orderdate >= '1998-04-01' THEN 1.5 ELSE 1 END AS q, o_totalprice FROM orders),
+s AS (SELECT arm, unit, late, avg(q) AS q, count(*)::DOUBLE AS c, min(o_totalprice) < 30000 AS ok FROM o GROUP BY 1, 2, 3),
+u AS (SELECT x.arm, x.unit, y.q - x.q AS gain, x.q AS q0, y.q AS q1, x.c AS c0, y.c AS c1, y.ok FROM s x JOIN s y ON x.arm = y.arm AND x.unit = y.unit AND NOT x.late AND y.late), """
+    + _BOUNDS
+    + """, t AS (SELECT arm, count(*) AS groups, bool_and(ok) AS all_eligible, min(gain) >= -0.4 AS no_regression, avg(q0) AS q0, avg(q1) AS q1, avg(c0) AS c0, avg(c1) AS c1 FROM u GROUP BY 1),
+v AS (SELECT t.*, above AS probability, c1 <= c0 * 1.1 AS cheap FROM t JOIN b USING (arm)),
+x AS (SELECT *, list_filter([CASE WHEN NOT all_eligible THEN 'physical_or_adversarial_gate_failed' END, CASE WHEN NOT no_regression THEN 'quality_regression' END,
+  CASE WHEN probability < 0.95 THEN 'improvement_not_statistically_supported' END, CASE WHEN NOT cheap THEN 'cost_regression' END], lambda z: z IS NOT NULL) AS reasons FROM v)
+SELECT arm, groups, len(reasons) = 0 AS promoted, CASE WHEN len(reasons) = 0 THEN 'new' END AS selected, reasons, all_eligible, no_regression, round(probability, 9) AS probability,
+  round(q0, 9) AS incumbent_quality, round(q1, 9) AS challenger_quality, round(c0, 9) AS incumbent_cost, round(c1, 9) AS challenger_cost, cheap FROM x"""
+)
+def continual_promotion(spark, d):
+    """Whether the orders after 1998-03 replace those before, by priority over twelve groups of orders, and every reason why not."""
+    late = F.col("o_orderdate") >= "1998-04-01"
+    quality = F.col("o_totalprice") / 100000 * F.when((F.col("o_orderpriority") < "3") & late, 1.5).otherwise(1.0)
+    rows = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm"), F.concat(F.lit("g"), F.col("o_orderkey") % 12).alias("group"), late.alias("late"))
+    rows = rows.agg(F.avg(quality).alias("quality"), F.count("*").cast("double").alias("cost"), (F.min("o_totalprice") < 30000).alias("eligible"), F.max(F.when(late, "new").otherwise("old")).alias("candidate"))
+    found = resampling.decide_promotion(rows.filter(~F.col("late")), rows.filter("late"), ["arm"], most_regression=0.4, rounds=500, seed=42)
+    rounded = ("probability", "incumbent_quality", "challenger_quality", "incumbent_cost", "challenger_cost")
+    return found.select(*(F.round(c, 9).alias(c) if c in rounded else c for c in found.columns))
+
+
+@query(
+    """WITH l AS (SELECT l_returnflag AS model, CAST(l_suppkey AS VARCHAR) AS trial, CAST(l_suppkey % 40 AS VARCHAR) AS unit, l_discount, l_tax FROM lineitem),
+t AS (SELECT model, metric, trial, unit, avg(v) AS v FROM (SELECT model, trial, unit, 'discount' AS metric, l_discount AS v FROM l UNION ALL SELECT model, trial, unit, 'tax', l_tax FROM l) GROUP BY ALL),
+g AS (SELECT model, metric, unit, avg(v) AS v, count(*) AS trials FROM t GROUP BY ALL),
+u AS (SELECT b.model || ':' || b.metric AS arm, b.model, b.metric, b.unit, CASE b.metric WHEN 'discount' THEN c.v - b.v ELSE b.v - c.v END AS gain, c.trials FROM g b JOIN g c USING (metric, unit) WHERE b.model <> 'N' AND c.model = 'N'), """
+    + _BOUNDS
+    + """, f AS (SELECT arm, any_value(model) AS baseline, any_value(metric) AS metric, CAST(sum(trials) AS BIGINT) AS raw_trials FROM u GROUP BY 1),
+z AS (SELECT baseline, metric, metric = 'discount' AS higher, n, raw_trials, mean, lower, p, coalesce(lower > 0, false) AS positive, n >= 20 AS eligible FROM f JOIN r USING (arm))
+SELECT *, min(positive) OVER w AS all_positive, min(eligible) OVER w AND min(positive) OVER w AS passed FROM z WINDOW w AS (PARTITION BY baseline)"""
+)
+def model_comparison(spark, d):
+    """The lines of one return flag against those of the others, suppliers being trials of forty independent units."""
+    metrics = F.explode(F.array(F.struct(F.lit("discount").alias("metric"), F.col("l_discount").alias("value")), F.struct(F.lit("tax").alias("metric"), F.col("l_tax").alias("value")))).alias("m")
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_suppkey").alias("trial"), (F.col("l_suppkey") % 40).alias("unit"), F.lit(0).alias("seed"), metrics)
+    found = resampling.compare_models(rows.select("model", "trial", "unit", "seed", "m.metric", "m.value"), "N", {"discount": True, "tax": False}, rounds=500, seed=42)
+    return found.select(*(F.round(c, 9).alias(c) if c in ("mean", "lower", "p") else c for c in found.columns))

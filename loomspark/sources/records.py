@@ -1,4 +1,4 @@
-"""Readers and writers of records: JSON lines, CSV with a header, Parquet parts, whole files."""
+"""Readers and writers of records: JSON lines, CSV with a header, Parquet parts."""
 
 from __future__ import annotations
 
@@ -6,45 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from loomspark.operators.gates import repeated_keys, require_none
+from loomspark.sources import commits
+from loomspark.sources.lines import read_records
 
-CORRUPT = "_corrupt"
 
+def read_json_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructType, keys: Sequence[str] = (), limit: int = 0, exact: bool = False) -> DataFrame:
+    """Records of JSON-lines files under an explicit schema, or the first ``limit`` of them.
 
-def read_json_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructType, keys: Sequence[str] = ()) -> DataFrame:
-    """Records of JSON-lines files under an explicit schema.
-
-    A line that isn't a record of the schema, and a key that occurs twice,
-    raise. Blank lines are skipped.
+    A line that isn't a record of the schema raises with its file and number,
+    and so does a key that occurs twice. Blank lines are skipped.
     """
-    full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT).json([paths] if isinstance(paths, str) else list(paths))
-    good = rows.select(*schema.fieldNames(), CORRUPT).cache()
-    try:
-        require_none(good.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT), "lines that are no records")
-        if keys:
-            require_none(repeated_keys(good, keys), "keys that occur twice")
-    finally:
-        good.unpersist()
-    return rows.drop(CORRUPT)
-
-
-def bad_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """File, line number from 1 and text of the lines that aren't records of the schema."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    parsed = F.from_json("text", StructType([*schema.fields, StructField(CORRUPT, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    found = lines.filter(F.length(F.trim("text")) > 0).withColumn("_p", parsed)
-    return found.filter(F.col(f"_p.{CORRUPT}").isNotNull()).select("file", (F.col("line") + 1).alias("line"), "text")
-
-
-def append_json_lines(rows: DataFrame, path: str, existing: DataFrame | None, keys: Sequence[str]) -> None:
-    """Appends records whose keys are new; a known or repeated key raises and nothing is written."""
-    require_none(repeated_keys(rows, keys), "keys that occur twice")
-    if existing is not None:
-        require_none(rows.select(*keys).join(existing.select(*keys), list(keys), "left_semi"), "keys that exist")
-    rows.write.mode("append").json(path)
+    rows = read_records(spark, paths, schema, limit, exact).select(*schema.fieldNames())
+    if keys:
+        require_none(repeated_keys(rows, keys), "keys that occur twice")
+    return rows
+
+
+def append_json_lines(rows: DataFrame, folder: str, keys: Sequence[str], check: commits.Check | None = None) -> int:
+    """Appends records whose keys are new as one commit; a known or repeated key raises and nothing counts, whoever else appends meanwhile."""
+    return commits.append(rows, folder, keys, check, "json")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, least_rows: int = 1) -> DataFrame:
@@ -76,12 +59,6 @@ def write_parts(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     rows.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and SHA-256 of whole files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def union_checked(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """The rows of tables of one schema; a key in two of them raises."""
     out = parts[0]

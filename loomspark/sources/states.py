@@ -6,30 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.gates import require_none
+from loomspark.sources import commits
 
 
-def append_states(states: DataFrame, path: str, thread: str = "thread", number: str = "number", state: str = "state") -> None:
-    """Appends states (JSON texts) with their digests; a number that its thread has already raises."""
-    spark = states.sparkSession
+def append_states(states: DataFrame, folder: str, thread: str = "thread", number: str = "number", state: str = "state") -> int:
+    """Appends states (JSON texts) with their digests as one commit; a number that its thread has already raises, whoever else appends meanwhile."""
     rows = states.select(thread, number, state).withColumn("state_sha256", F.sha2(F.col(state).cast("binary"), 256))
-    try:
-        known = spark.read.parquet(path).select(thread, number)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    else:
-        require_none(rows.select(thread, number).join(known, [thread, number], "left_semi"), "numbers that exist")
-    require_none(rows.groupBy(thread, number).count().filter("count > 1"), "numbers that occur twice")
-    rows.write.mode("append").parquet(path)
-
-
-def read_states(spark: SparkSession, path: str, state: str = "state") -> DataFrame:
-    """All states; one that doesn't fit its digest raises."""
-    rows = spark.read.parquet(path)
+    return commits.append(rows, folder, [thread, number])
+
+
+def read_states(spark: SparkSession, folder: str, state: str = "state") -> DataFrame:
+    """All states that were committed; one that doesn't fit its digest raises."""
+    parts = [f"{folder}/{data}" for _, data in commits.commits(spark, folder)]
+    rows = spark.read.parquet(*parts)
     require_none(rows.filter(F.sha2(F.col(state).cast("binary"), 256) != F.col("state_sha256")).drop(state), "states that were changed")
     return rows
 
 
-def latest_states(spark: SparkSession, path: str, thread: str = "thread", number: str = "number") -> DataFrame:
+def latest_states(spark: SparkSession, folder: str, thread: str = "thread", number: str = "number") -> DataFrame:
     """The state of the highest number of each thread."""
-    return read_states(spark, path).groupBy(thread).agg(F.max_by(F.struct("*"), number).alias("s")).select("s.*")
+    return read_states(spark, folder).groupBy(thread).agg(F.max_by(F.struct("*"), number).alias("s")).select("s.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import scalar
 from loomspark.operators import fitting
 from loomspark.queries import fits
-from loomspark.sources import states
+from loomspark.sources import commits, states
 
 
 def test_huber_line_ignores_an_outlier(spark):
@@ -67,7 +67,9 @@ def test_states(spark, tmp_path):
     with pytest.raises(ValueError, match="exist"):
         states.append_states(frame([("a", 2, "{}")]), path)
     assert {r.thread: r.number for r in states.latest_states(spark, path).collect()} == {"a": 2, "b": 1}
-    frame([("c", 1, "{}")]).withColumn("state_sha256", F.lit("0")).write.mode("append").parquet(path)
+    frame([("c", 1, "{}")]).withColumn("state_sha256", F.lit("0")).write.parquet(f"{path}/data/other")
+    assert states.read_states(spark, path).count() == 3  # what isn't committed isn't read
+    assert commits.create_if_absent(spark, f"{path}/commits/{3:012d}.txt", "data/other")
     with pytest.raises(ValueError, match="changed"):
         states.read_states(spark, path)
 
@@ -76,13 +78,3 @@ def test_rotation_matrices(spark):
     m = scalar.matrix_from_euler(F.lit(0.3), F.lit(-0.2), F.lit(1.0))
     got = spark.range(1).select(scalar.orthonormal_error(m).alias("e"), scalar.determinant(m).alias("d"), scalar.matrix_angle(m, m).alias("a"), scalar.project(F.lit(1.0), F.lit(1.0), F.lit(-1.0), 1.0, 1.0, 0.0, 0.0).alias("p")).first()
     assert got.e < 1e-12 and got.d == pytest.approx(1.0) and got.a == 0.0 and got.p is None
-
-
-def test_resampled_scale(spark):
-    rows = [("one", s, 4.0 if s == "a" else 6.0) for s in "aaabb"] + [("none", "a", 0.0)] * 3
-    rows += [("spread", "a", float(v)) for v in range(1, 100)]
-    got = {r.k: (r.median, r.relative) for r in fitting.resampled_scale(spark.createDataFrame(rows, "k string, s string, v double"), ["k"], "s", "v", 400, 7).collect()}
-    # Strata keep their sizes, so three fours and two sixes have no other median; a median of 0 has no relative deviation.
-    assert got["one"] == (4.0, 0.0) and got["none"] == (0.0, None)
-    # The median of n uniform values deviates by about range / (2 * sqrt(n)).
-    assert got["spread"][0] == 50.0 and got["spread"][1] == pytest.approx(99 / (2 * 99**0.5) / 50, rel=0.2)

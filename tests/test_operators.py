@@ -29,17 +29,6 @@ def test_holm_stops_after_the_first_that_holds(spark):
     assert single == {"strong": True, "borderline": True}
 
 
-def test_bootstrap_is_pythons_stream(spark):
-    values = [0.1, 0.3, -0.1, 0.2]
-    rows = spark.createDataFrame([("a", f"t{i}", v) for i, v in enumerate(values)] + [("b", "t0", 1.0)], "arm string, trial string, gain double")
-    got = {r.arm: r for r in aggregation.paired_bootstrap(rows, ["arm"], "trial", "gain", 100, 0.95, 42).collect()}
-    rnd = random.Random(42)
-    means = sorted(sum(values[rnd.randrange(4)] for _ in range(4)) / 4 for _ in range(100))
-    assert got["a"].lower == means[max(0, int(0.05 * 100) - 1)] and got["a"].n == 4
-    assert got["a"].p == (sum(m <= 0 for m in means) + 1) / 101
-    assert got["b"].lower is None and got["b"].mean == 1.0
-
-
 def test_means_in_levels(spark):
     rows = spark.createDataFrame([("c", "a", 1.0), ("c", "a", 1.2), ("c", "b", 1.4)], "method string, unit string, error double")
     got = aggregation.mean_in_levels(rows, [["method", "unit"], ["method"]], "error").first()

@@ -13,28 +13,6 @@ from loomspark.streaming import events
 SCHEMA = StructType([StructField("id", LongType()), StructField("name", StringType())])
 
 
-def test_json_lines(spark, tmp_path):
-    path = f"{tmp_path}/ledger"
-    first = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
-    records.append_json_lines(first, path, None, ["id"])
-    known = records.read_json_lines(spark, path, SCHEMA, ["id"])
-    with pytest.raises(ValueError, match="exist"):
-        records.append_json_lines(first.limit(1), path, known, ["id"])
-    records.append_json_lines(spark.createDataFrame([(3, "c")], SCHEMA), path, known, ["id"])
-    assert sorted(r.id for r in records.read_json_lines(spark, path, SCHEMA, ["id"]).collect()) == [1, 2, 3]
-
-
-def test_bad_json_lines_are_named(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text('{"id": 1, "name": "a"}\n\n{"id": "no"\n{"id": 1, "name": "b"}\n')
-    path = f"{tmp_path}/x.jsonl"
-    with pytest.raises(ValueError, match="no records"):
-        records.read_json_lines(spark, path, SCHEMA)
-    assert [(r.line, r.text) for r in records.bad_lines(spark, path, SCHEMA).collect()] == [(3, '{"id": "no"')]
-    (tmp_path / "x.jsonl").write_text('{"id": 1, "name": "a"}\n{"id": 1, "name": "b"}\n')
-    with pytest.raises(ValueError, match="twice"):
-        records.read_json_lines(spark, path, SCHEMA, ["id"])
-
-
 def test_csv(spark, tmp_path):
     records.write_csv(spark.createDataFrame([(1, "a,b"), (2, None)], SCHEMA), f"{tmp_path}/t")
     assert sorted((r.id, r.name) for r in records.read_csv(spark, f"{tmp_path}/t", SCHEMA, 2).collect()) == [(1, "a,b"), (2, None)]
@@ -52,9 +30,6 @@ def test_parts_and_digests(spark, tmp_path):
     assert found.filter("k = 1").count() == 5
     with pytest.raises(ValueError, match="no columns"):
         records.read_parts(spark, f"{tmp_path}/p", ["none"])
-    (tmp_path / "f").mkdir()
-    (tmp_path / "f/a").write_bytes(b"abc")
-    assert records.file_digests(spark, f"{tmp_path}/f").first().sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     one = spark.createDataFrame([(1, "a")], SCHEMA)
     with pytest.raises(ValueError, match="twice"):
         records.union_checked([one, one], ["id"])
