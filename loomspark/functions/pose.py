@@ -99,9 +99,19 @@ def two_arms(values: Column, slack: float = 1e-6) -> Column:
     return F.when(good, F.array(*out))
 
 
-def is_semidefinite(m: Column, tolerance: float = 1e-9) -> Column:
-    """Whether a symmetric 3 x 3 matrix has no negative eigenvalue: none of its principal minors is negative."""
-    a, b, c, _, e, f, _, _, i = (m[k] for k in range(9))
-    symmetric = F.greatest(F.abs(m[1] - m[3]), F.abs(m[2] - m[6]), F.abs(m[5] - m[7])) <= tolerance
-    least = F.least(a, e, i, a * e - b * b, a * i - c * c, e * i - f * f, scalar.determinant(m))
-    return symmetric & (least >= -tolerance)
+def is_semidefinite(m: Column, tolerance: float = 1e-10, asymmetry: float = 1e-8) -> Column:
+    """Whether a symmetric 3 x 3 matrix (row by row) has no eigenvalue below -``tolerance``.
+
+    That is so if the matrix with the tolerance added to its diagonal has a
+    Cholesky decomposition, whose pivots are of the size of the matrix itself,
+    however small that is. Null or non-finite entries and opposite entries that
+    differ by more than ``asymmetry`` give false.
+    """
+    a, b, c, _, e, f, _, _, i = (m[k].cast("double") for k in range(9))
+    finite = F.forall(m, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    symmetric = F.greatest(F.abs(m[1] - m[3]), F.abs(m[2] - m[6]), F.abs(m[5] - m[7])) <= asymmetry
+    first = a + tolerance
+    second = e + tolerance - F.try_divide(b * b, first)
+    rest = f - F.try_divide(b * c, first)
+    third = i + tolerance - F.try_divide(c * c, first) - F.try_divide(rest * rest, second)
+    return F.coalesce((F.size(m) == 9) & finite & symmetric & (first > 0) & (second > 0) & (third > 0), F.lit(False))

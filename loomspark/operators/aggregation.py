@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.quantiles import quantiles
 from loomspark.operators.ranking import ranked
 
 
@@ -21,14 +22,9 @@ def mean_in_levels(rows: DataFrame, levels: Sequence[Sequence[str]], value: str,
 def vector_stats(rows: DataFrame, vector: str, percentiles: Sequence[float] = (0.01, 0.99)) -> DataFrame:
     """Per dimension (from 0): count, min, max, mean, population deviation and linear percentiles."""
     long = rows.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    return long.groupBy("dim").agg(
-        F.count("x").alias("n"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("std"),
-        *(F.percentile("x", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in percentiles),
-    )
+    sums = long.groupBy("dim").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    ranks = quantiles(long, ["dim"], "x", {f"p{round(100 * p):02d}": p for p in percentiles})
+    return sums.join(ranks.drop("n"), "dim", "left")
 
 
 def nearest_rank(value: str, share: float) -> Column:
@@ -63,17 +59,18 @@ def holm(rows: DataFrame, name: str, p: str, alpha: float, keys: Sequence[str] =
 
 def robust_limits(rows: DataFrame, keys: Sequence[str], value: str, factor: float, least_margin: float) -> DataFrame:
     """Median, median absolute deviation and the limits median -/+ max(least_margin, factor * mad)."""
-    middle = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    middle = quantiles(rows, keys, value, {"median": 0.5}).drop("n")
     gaps = rows.join(middle, list(keys)).withColumn("_gap", F.abs(F.col(value) - F.col("median")))
-    found = gaps.groupBy(*keys, "median").agg(F.percentile("_gap", F.lit(0.5)).alias("mad"))
+    found = quantiles(gaps, [*keys, "median"], "_gap", {"mad": 0.5}).drop("n")
     margin = F.greatest(F.lit(float(least_margin)), F.lit(float(factor)) * F.col("mad"))
     return found.withColumn("low", F.col("median") - margin).withColumn("high", F.col("median") + margin)
 
 
-def six_numbers(value: str) -> list[Column]:
-    """Mean, median, 10th and 90th percentile, least and largest."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return [F.avg(value).alias("mean"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), F.min(value).alias("min"), F.max(value).alias("max")]
+def six_numbers(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Mean, median, 10th and 90th percentile, least and largest of each group."""
+    sums = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    ranks = quantiles(rows, keys, value, {"median": 0.5, "p10": 0.1, "p90": 0.9}).drop("n")
+    return sums.join(ranks, list(keys), "left").select(*keys, "mean", "median", "p10", "p90", "min", "max")
 
 
 def surprisal(rows: DataFrame, keys: Sequence[str], bin_column: str, pseudocount: float, bins: int) -> DataFrame:

@@ -75,8 +75,8 @@ def contiguity_gaps(phases: DataFrame, keys: Sequence[str], start: str, end: str
 
 
 def section_counts(lines: DataFrame, file: str, number: str, text: str, domain: Sequence[str]) -> DataFrame:
-    """Bullets ("- ") under the last heading ("## ") before them, for every file and heading of the domain, 0 where there are none."""
-    named = F.when(F.startswith(text, F.lit("## ")), F.upper(F.trim(F.substring(text, 4, 1 << 20))))
+    """Bullets ("- ") under the last heading ("## ") before them, for every file and heading of the domain, 0 where there are none; white space around a heading doesn't count."""
+    named = F.when(F.startswith(text, F.lit("## ")), F.upper(F.trim(F.substring(text, 4, 1 << 20), F.lit(" \t\n\r\x0b\x0c"))))
     last = F.last(named, ignorenulls=True).over(Window.partitionBy(file).orderBy(number))
     found = lines.withColumn("section", last).filter(F.startswith(text, F.lit("- "))).groupBy(file, "section").agg(F.count("*").alias("bullets"))
     every = lines.select(file).distinct().withColumn("section", F.explode(F.array(*map(F.lit, domain))))
@@ -89,10 +89,18 @@ def elapsed(start: Column, end: Column) -> Column:
 
 
 def throughput(windows: DataFrame, keys: Sequence[str], start: str, end: str, frames: str, fps: float, workers: int) -> DataFrame:
-    """Wall seconds from the first start to the last end, frames a second, the factor to real time and worker hours."""
-    found = windows.groupBy(*keys).agg(elapsed(F.min(start), F.max(end)).alias("wall"), F.sum(frames).alias("frames"))
+    """Wall seconds from the first start to the last end, frames a second, the factor to real time and worker hours.
+
+    Starts and ends are ISO times with any offsets and are compared as times.
+    ``unfinished`` counts the windows whose start or end is null or no time; a
+    group that has one has no figures.
+    """
+    begun, over = (F.unix_micros(F.try_to_timestamp(c)) for c in (F.col(start), F.col(end)))
+    found = windows.groupBy(*keys).agg(F.count_if(begun.isNull() | over.isNull()).alias("unfinished"), ((F.max(over) - F.min(begun)) / 1e6).alias("wall"), F.sum(frames).alias("frames"))
+    found = found.withColumn("wall", F.when(F.col("unfinished") == 0, F.col("wall")))
     return found.select(
         *keys,
+        "unfinished",
         "wall",
         F.try_divide("frames", "wall").alias("frames_a_second"),
         F.try_divide(F.col("wall"), F.col("frames") / fps).alias("realtime_factor"),
@@ -100,6 +108,56 @@ def throughput(windows: DataFrame, keys: Sequence[str], start: str, end: str, fr
     )
 
 
+def compare_runs(baseline: DataFrame, optimised: DataFrame, key: str, same: Sequence[str], status: str = "status", wall: str = "wall", rate: str = "frames_a_second", hours: str = "worker_hours") -> DataFrame:
+    """Two runs of each case: speedup, gain in rate and the share of worker hours saved, if the runs can be compared.
+
+    ``mismatches`` names the fields of ``same`` in which the runs differ (equal
+    nulls agree), and status where one isn't 'completed'. A pair with a mismatch
+    and a case that only one side has get no figures; the latter is named by
+    'missing'. A case that occurs twice on a side gives a row for each pair.
+    """
+    side = lambda df, n: df.select(key, F.struct(*same, status, wall, rate, hours).alias(n))
+    both = side(baseline, "_a").join(side(optimised, "_b"), key, "full")
+    a, b = F.col("_a"), F.col("_b")
+    unlike = F.array_compact(F.array(*(F.when(~a[f].eqNullSafe(b[f]), F.lit(f)) for f in same), F.when(~(F.coalesce(a[status] == "completed", F.lit(False)) & F.coalesce(b[status] == "completed", F.lit(False))), F.lit(status))))
+    both = both.withColumn("mismatches", F.when(a.isNull() | b.isNull(), F.array(F.lit("missing"))).otherwise(unlike))
+    fit = F.size("mismatches") == 0
+    return both.select(key, "mismatches", F.when(fit, F.try_divide(a[wall], b[wall])).alias("speedup"), F.when(fit, F.try_divide(b[rate], a[rate])).alias("rate_gain"), F.when(fit, 1 - F.try_divide(b[hours], a[hours])).alias("hours_saved"))
+
+
+def centreline_audit(points: DataFrame, keys: Sequence[str], frame: str, node: str, xyz: Sequence[str], confidence: str, nodes: int, least_visible: float = 0.8, most_cv: float = 0.12) -> DataFrame:
+    """Whether the nodes of a line are seen often enough and the segments between them keep their lengths.
+
+    One row for each node (from 0) of each frame. A node is visible if its
+    coordinates and its confidence are finite and the confidence is above 0. A
+    segment's variation is the population deviation of its length by its mean,
+    over the frames in which both ends are visible; seen fewer than twice, or of
+    no length, it is infinite. Returns ``keys``, frames, visible (share of all
+    nodes of all frames), worst_cv, finite_confidence (all confidences are
+    finite and not negative) and passed. Null never passes.
+    """
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    seen = finite(confidence) & F.coalesce(F.col(confidence) > 0, F.lit(False))
+    for c in xyz:
+        seen = seen & finite(c)
+    rows = points.select(*keys, F.col(frame).alias("_frame"), F.col(node).alias("_node"), *xyz, (finite(confidence) & (F.col(confidence) >= 0)).alias("_good"), seen.alias("_seen"))
+    after = Window.partitionBy(*keys, "_frame").orderBy("_node")
+    both = F.col("_seen") & F.lead("_seen").over(after) & (F.lead("_node").over(after) == F.col("_node") + 1)
+    size = F.sqrt(sum((F.pow(F.lead(c).over(after) - F.col(c), 2) for c in xyz), F.lit(0.0)))
+    segments = rows.withColumn("_size", F.when(both, size)).groupBy(*keys, "_node").agg(F.count("_size").alias("_n"), F.avg("_size").alias("_mean"), F.stddev_pop("_size").alias("_dev"))
+    cv = F.when((F.col("_n") >= 2) & (F.col("_mean") > 1e-8), F.col("_dev") / F.col("_mean")).otherwise(float("inf"))
+    worst = segments.filter(F.col("_node") < nodes - 1).groupBy(*keys).agg(F.max(cv).alias("_cv"), F.count("*").alias("_segments"))
+    whole = rows.groupBy(*keys).agg(F.count_distinct("_frame").alias("frames"), F.count_if("_seen").alias("_visible"), F.coalesce(F.min("_good"), F.lit(False)).alias("finite_confidence"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        worst = worst.withColumnRenamed(k, f"_k{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = whole.join(worst, same, "left").withColumn("worst_cv", F.when(F.col("_segments") == nodes - 1, F.col("_cv")).otherwise(float("inf")))
+    found = found.withColumn("visible", F.col("_visible") / (F.col("frames") * nodes))
+    passed = F.col("finite_confidence") & (F.col("visible") >= least_visible) & (F.col("worst_cv") <= most_cv)
+    return found.select(*keys, "frames", "visible", "worst_cv", "finite_confidence", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
 def greatest_step(rows: DataFrame, keys: Sequence[str], at: str, x: str, y: str, most: float) -> DataFrame:
     """The longest step of a series of points, the first row that ends one as long, and whether it is ``most`` at most; a single point has none."""
     own = Window.partitionBy(*keys).orderBy(at)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +86,10 @@ def non_maximum_suppression(rows: DataFrame, key: str, at: str, score: str, sepa
     highest row within ``separation`` is kept whatever else is, and what is left
     on one side of it is no matter to the other side. So windows settle these
     rows and cut each entity at them; only what lies between two of them is
-    chosen one row after another, in one pandas group.
+    chosen one row after another, as the sorted rows of a partition stream past.
     """
+    if separation < 1:
+        raise ValueError("the separation is a positive number")
     place, worth = F.col(at).cast("long"), F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
     first = F.row_number().over(Window.partitionBy(key, at).orderBy(F.desc("_worth")))
     found = rows.withColumn("_worth", worth).withColumn("_first", first).filter(F.col("_first") == 1).withColumn("_place", place)
@@ -96,21 +98,41 @@ def non_maximum_suppression(rows: DataFrame, key: str, at: str, score: str, sepa
     rank = F.struct("_worth", -F.col("_place"))
     found = found.withColumn("_peak", F.max(rank).over(around) == rank)
     found = found.withColumn("_near", F.max("_peak").over(around)).filter(F.col("_peak") | ~F.col("_near"))
-    found = found.withColumn("_piece", F.sum(F.col("_peak").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_worth", "_place"], ascending=[False, True], ignore_index=True)
-        taken: list[int] = []
-        chosen = []
-        for i, here in enumerate(pdf["_place"].tolist()):
-            n = bisect.bisect(taken, here)
-            if all(abs(here - other) >= separation for other in taken[max(n - 1, 0) : n + 1]):
-                taken.insert(n, here)
-                chosen.append(i)
-        return pdf.loc[chosen, names]
-
+    found = found.withColumn("_starts", F.col("_peak") | F.lag("_place").over(order).isNull())
+    held = found.sortWithinPartitions(key, "_place").select(*rows.columns, "_place", "_worth", "_starts")
     names = rows.columns
-    return found.groupBy(key, "_piece").applyInPandas(keep, rows.schema)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_starts").to_numpy(zero_copy_only=False))
+            if len(starts) and (starts[-1] or open_):
+                yield _chosen(pa.concat_batches([*open_, batch.slice(0, starts[-1])]), names, separation)
+                open_, batch = [], batch.slice(starts[-1])
+            open_.append(batch)
+        if open_:
+            yield _chosen(pa.concat_batches(open_), names, separation)
+
+    return held.mapInArrow(step, rows.schema)
+
+
+def _chosen(rows: pa.RecordBatch, names: Sequence[str], separation: int) -> pa.RecordBatch:
+    """The rows that are kept of whole pieces; of a piece, at most one kept row lies in ``separation`` neighbouring places."""
+    places, worth = rows.column("_place").to_numpy(), rows.column("_worth").to_numpy()
+    starts = np.flatnonzero(rows.column("_starts").to_numpy(zero_copy_only=False))
+    sizes = np.diff(starts, append=len(places))
+    keep = np.zeros(len(places), bool)
+    keep[starts[sizes == 1]] = True
+    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        taken: dict[int, int] = {}
+        own = places[start : start + size]
+        for i in np.lexsort((own, -worth[start : start + size])).tolist():
+            here = int(own[i])
+            cell = here // separation
+            if all(abs(here - taken.get(c, here + separation)) >= separation for c in (cell - 1, cell, cell + 1)):
+                taken[cell] = here
+                keep[start + i] = True
+    return rows.select(list(names)).take(pa.array(np.flatnonzero(keep)))
 
 
 def islands(rows: DataFrame, keys: Sequence[str], at: str, gap: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import scalar
 from loomspark.operators import aggregation, learning, resampling
+from loomspark.operators.quantiles import quantiles
 from loomspark.queries import query, read
 
 
@@ -61,9 +62,8 @@ def robust_limit(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_disc(value, 0.95), 6) AS p95_rank FROM events GROUP BY 1")
 def percentile_pair(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", F.lit(0.05)), 6).alias("p05"), F.round(aggregation.nearest_rank("value", 0.95), 6).alias("p95_rank")
-    )
+    found = quantiles(read(spark, d, "events"), ["event_type"], "value", {"p05": 0.05}, {"p95_rank": 0.95})
+    return found.select("event_type", F.round("p05", 6).alias("p05"), F.round("p95_rank", 6).alias("p95_rank"))
 
 
 @query(
@@ -73,13 +73,10 @@ FROM events JOIN (VALUES ('all', 1, 31), ('early', 1, 15), ('middle', 10, 20)) s
 def section_violation(spark, d):
     sections = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in (("all", 1, 31), ("early", 1, 15), ("middle", 10, 20))))
     rows = read(spark, d, "events").withColumn("s", F.explode(F.filter(sections, lambda s: F.dayofmonth("ts").between(s["a"], s["b"]))))
-    return rows.groupBy(F.col("s.name").alias("name")).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.percentile("value", F.lit(0.05)), 6).alias("p05"),
-        F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"),
-        F.round(F.count_if(F.col("value") > 60) / F.count("*"), 6).alias("violations"),
-    )
+    rows = rows.select(F.col("s.name").alias("name"), "value")
+    sums = rows.groupBy("name").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.count_if(F.col("value") > 60) / F.count("*"), 6).alias("violations"))
+    found = quantiles(rows, ["name"], "value", {"p05": 0.05, "p95": 0.95})
+    return sums.join(found, "name").select("name", "n", "mean", F.round("p05", 6).alias("p05"), F.round("p95", 6).alias("p95"), "violations")
 
 
 @query(
@@ -96,7 +93,7 @@ def palette_surprisal(spark, d):
     """SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90, min(value) AS min, max(value) AS max FROM events GROUP BY 1"""
 )
 def six_numbers(spark, d):
-    found = read(spark, d, "events").groupBy("event_type").agg(*aggregation.six_numbers("value"))
+    found = aggregation.six_numbers(read(spark, d, "events"), ["event_type"], "value")
     return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p10", "p90")), "min", "max")
 
 

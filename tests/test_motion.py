@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,58 @@ def test_semidefinite(spark):
     assert one(spark, pose.is_semidefinite(numbers(2, 1, 0, 1, 2, 0, 0, 0, 0)))
     assert not one(spark, pose.is_semidefinite(numbers(1, 2, 0, 2, 1, 0, 0, 0, 1)))
     assert not one(spark, pose.is_semidefinite(numbers(1, 0.5, 0, 0, 1, 0, 0, 0, 1)))
+    assert not one(spark, pose.is_semidefinite(numbers(1e-5, 3e-5, 0, 3e-5, 1e-5, 0, 0, 0, 1e-5)))
+    assert not one(spark, pose.is_semidefinite(numbers(1, 0, 0, 0, math.nan, 0, 0, 0, 1)))
+    assert not one(spark, pose.is_semidefinite(F.array(F.lit(1.0), F.lit(None).cast("double"))))
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1e-4, 1.0, 1e3])
+def test_semidefinite_like_eigenvalues(spark, scale):
+    rnd = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        q, _ = np.linalg.qr(rnd.normal(size=(3, 3)))
+        values = scale * rnd.uniform(0, 1, 3) * rnd.choice([0, 1, 1], 3)
+        if i % 2:
+            values[i % 3] = -max(2e-10, scale * rnd.uniform(1e-6, 1))
+        m = q @ np.diag(values) @ q.T
+        m = (m + m.T) / 2
+        rows.append((i, m.ravel().tolist(), bool(np.linalg.eigvalsh(m)[0] >= -1e-10)))
+    frame = spark.createDataFrame(rows, "i int, m array<double>, want boolean")
+    assert frame.filter(pose.is_semidefinite(F.col("m")) != F.col("want")).count() == 0
+
+
+def test_centrelines(spark):
+    line = lambda stem, frame, confidence=1.0, size=0.1: [(stem, frame, k, 0.0, size * k, 1.0, confidence) for k in range(4)]
+    rows = [r for f in range(3) for r in line("good", f)]
+    rows += line("once", 0) + [r for f in (1, 2) for r in line("once", f, 0.0)]
+    rows += [r for f in range(3) for r in line("never", f, 0.0)] + [r for f in range(3) for r in line("odd", f)[:3] + [("odd", f, 3, None, 0.3, 1.0, 1.0)]]
+    rows += [r for f in range(3) for r in line("grows", f, 1.0, 0.1 + 0.1 * f)] + [r for f in range(3) for r in line("short", f)[:3]]
+    rows += [r for f in range(3) for r in line("below", f)[:3] + [("below", f, 3, 0.0, 0.3, 1.0, -1.0 if f else 1.0)]] + [r for f in range(2) for r in line("flat", f, 1.0, 0.0)]
+    frame = spark.createDataFrame(rows, "stem string, frame int, node int, x double, y double, z double, c double")
+    got = {r.stem: r for r in motion.centreline_audit(frame, ["stem"], "frame", "node", ["x", "y", "z"], "c", 4, 0.0).collect()}
+    assert got["good"].passed and got["good"].worst_cv == pytest.approx(0, abs=1e-9) and (got["good"].frames, got["good"].visible) == (3, 1.0)
+    for stem in ("once", "never", "odd", "short", "flat", "below"):
+        assert not got[stem].passed and got[stem].worst_cv == math.inf
+    assert not got["grows"].passed and got["grows"].worst_cv == pytest.approx(np.std([1, 2, 3]) / 2)
+    assert got["once"].visible == pytest.approx(1 / 3) and got["short"].visible == 0.75 and not got["below"].finite_confidence
+    assert not motion.centreline_audit(frame, ["stem"], "frame", "node", ["x", "y", "z"], "c", 4, 1.01).filter("passed").collect()
+
+
+def test_times_are_compared_as_times(spark):
+    rows = [("a", "2024-01-01T00:00:00Z", "2024-01-01T01:00:00Z", 60), ("a", "2024-01-01T00:30:00+02:00", "2024-01-01T00:40:00+02:00", 30), ("b", "2024-01-01T00:00:00Z", "x", 9), ("b", "2024-01-01T00:00:00Z", "2024-01-01T01:00:00Z", 9), ("c", "2024-01-01T00:00:00Z", None, 9)]
+    frame = spark.createDataFrame(rows, "k string, s string, t string, frames int")
+    got = {r.k: r for r in motion.throughput(frame, ["k"], "s", "t", "frames", 24.0, 2).collect()}
+    assert (got["a"].wall, got["a"].unfinished, got["a"].frames_a_second, got["a"].worker_hours) == (9000.0, 0, 0.01, 5.0)
+    assert (got["b"].wall, got["b"].unfinished, got["b"].frames_a_second) == (None, 1, None) and got["c"].unfinished == 1
+
+
+def test_only_like_runs_are_compared(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, sha string, seed int, status string, wall double, frames_a_second double, worker_hours double")
+    old = frame([("a", "x", 1, "completed", 400.0, 1.0, 4.0), ("b", "x", None, "completed", 4.0, 1.0, 4.0), ("c", "x", 1, None, 4.0, 1.0, 4.0), ("d", "x", 1, "completed", 4.0, 1.0, 4.0)])
+    new = frame([("a", "x", 1, "completed", 100.0, 4.0, 1.0), ("b", "y", None, "completed", 4.0, 1.0, 4.0), ("c", "x", 2, "completed", 4.0, 1.0, 4.0), ("e", "x", 1, "completed", 4.0, 1.0, 4.0)])
+    got = {r.k: tuple(r)[1:] for r in motion.compare_runs(old, new, "k", ["sha", "seed"]).collect()}
+    assert got == {"a": ([], 4.0, 4.0, 0.75), "b": (["sha"], None, None, None), "c": (["seed", "status"], None, None, None), "d": (["missing"], None, None, None), "e": (["missing"], None, None, None)}
 
 
 @pytest.mark.parametrize(

@@ -231,3 +231,10 @@ def test_folds_over_arrays(spark):
     assert one(spark, sequences.tail_mean(xs)) == 3.0
     assert one(spark, sequences.pearson(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(1.0)))) == 1.0
     assert one(spark, sequences.pearson(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
+
+
+def test_suppression_of_one_long_entity(spark):
+    n = 1_000_000
+    rows = spark.range(n).selectExpr("1 AS k", "id AS i", "CAST(id AS DOUBLE) AS s")  # one piece: each row is beaten by the next
+    got = series.non_maximum_suppression(rows, "k", "i", "s", 4).agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high")).first()
+    assert (got.n, got.low, got.high) == (n // 4, 3, n - 1)
