@@ -58,12 +58,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def inverted_index(docs: DataFrame, least_docs: int) -> DataFrame:
     """lang, term, total and postings (source, n) of the kept terms, and a row with a null term whose postings name a language's sources.
 
-    Counts combine in the tasks that read, before they are exchanged, and a
-    source's count of a term is one row before the term's list is made, so a
-    list has as many entries as the language has sources, however often the term
-    occurs.
+    Counts combine in the tasks that read, before they are exchanged. A term's
+    rows, no more than there are such tasks and sources, meet once; there they
+    become one count for each source and then one list, which has as many
+    entries as the language has sources, however often the term occurs.
     """
-    counts = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     lists = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("postings"))
     return cut(lists.filter(F.col("term").isNull() | (F.col("docs") >= least_docs)).drop("docs"))
 
