@@ -28,9 +28,10 @@ STEP_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that the model is fitted on, ``bits`` the buckets; ``steps`` of ``batch`` rows each are taken at any size."""
+    """``sample`` bounds the labelled rows that the model is fitted on and ``sample_bytes`` the bytes of their features, ``bits`` the buckets; ``steps`` of ``batch`` rows each are taken at any size."""
 
     sample: int = 3000
+    sample_bytes: int = 512 << 20
     bits: int = 17
     size: int = 6
     steps: int = 400
@@ -104,18 +105,28 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Fits the model on at most ``sample`` labelled rows, those of the smallest hash of the id that aren't held out.
+def sampled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, label and text of the rows to learn from: ``sample`` at most, one for each id.
 
     Rows without a label of 0 or 1 or without an id are left out, of several
-    labels of an id the smallest counts. Features are made where the rows are;
-    the bounded sample then meets in one task. Without a usable row the score
-    of every text is one half.
+    labels of an id the smallest counts, of several texts of an id the one of
+    the smallest hash. The ids are those of the smallest hashes that aren't held out.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    texts = in_text_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Fits the model on the rows of :func:`sampled`.
+
+    Features are made where the rows are; the bounded sample then meets in one
+    task, row by row in the order of the ids' hashes, until ``sample_bytes`` are
+    full. Without a usable row the score of every text is one half.
+    """
+    texts = in_text_batches(sampled(docs, labels, s))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,13 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
                 )
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows, size = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                size += len(r["ids"]) + len(r["shares"])
+                if size <= s.sample_bytes:
+                    rows.append(r)
         rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["ids"], r["shares"]))
         some = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in rows]
         weights, offset = train(some, s) if some else (np.zeros(1 << s.bits, np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([offset])], ["weights", "offset"])
 
-    model = texts.mapInArrow(counted, "doc_id long, label int, ids binary, shares binary").repartition(1).mapInArrow(fitted, "weights binary, offset double").collect()
+    model = texts.mapInArrow(counted, "doc_id long, label int, ids binary, shares binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(fitted, "weights binary, offset double").collect()
     return (np.frombuffer(model[0].weights, np.float32), model[0].offset) if model else (np.zeros(1 << s.bits, np.float32), 0.0)
 
 

@@ -86,7 +86,12 @@ PACKED = "batch long, doc_ids array<long>, first long, size long, texts binary"
 
 
 def _packed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The documents of each batch in one row, their texts compressed, for the way to where the batch is worked on."""
+    """The documents of each batch in one row, their texts compressed, for the way to where the batch is worked on.
+
+    A batch is named by its first row number. It lies between two multiples of
+    ``1 << bits`` and inside one Arrow batch, so it has no more documents than
+    that and no more bytes than an Arrow batch or one text.
+    """
     for batch in batches:
         row_no = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(row_no >> bits)) + 1).tolist(), len(row_no)]
@@ -95,7 +100,7 @@ def _packed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 continue
             data, borders = flat(batch.column(1).slice(start, stop - start))
             raw = np.diff(borders).astype(np.int64).tobytes() + data.tobytes()
-            row = [int(row_no[start]) >> bits, batch.column(2).slice(start, stop - start).to_pylist(), int(row_no[start]), len(raw), pa.compress(raw, "zstd", asbytes=True)]
+            row = [int(row_no[start]), batch.column(2).slice(start, stop - start).to_pylist(), int(row_no[start]), len(raw), pa.compress(raw, "zstd", asbytes=True)]
             types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["batch", "doc_ids", "first", "size", "texts"])
 
@@ -386,9 +391,10 @@ def remove_repeats(docs: DataFrame, texts: bool = True, bits: int = 10, bucket_r
     kept_sha256 and kept (the bytes that stay, null unless ``texts``). Strings
     are judged on the input, overlaps within a document count, and no string
     crosses the end of a document. Null counts as empty; rows that repeat a
-    text, with the same id or not, are repeats of each other. An empty table
+    text, with the same id or not, are repeats of each other. Texts may be of any length. An empty table
     gives no rows; other columns are ignored. ``docs`` is read once: its rows
-    are numbered, packed into batches and kept in the shared folder. A batch is ``1 << bits`` documents, a bucket has ``bucket_rows`` suffixes on
+    are numbered, packed into batches and kept in the shared folder. A batch is ``1 << bits`` documents or
+    16 MB of text at most, unless one text is longer: then it is that text alone, whose bytes one task holds with two numbers for each. A bucket has ``bucket_rows`` suffixes on
     average, ``pairs`` is how many are compared each with each, ``most`` how
     often a core may occur whose contexts one task compares.
     """

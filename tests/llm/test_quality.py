@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from loomspark.llm import quality
 from loomspark.llm.quality import Settings, classify, features, keep_good, scored, train
 from loomspark.llm.rolling import BASE, MIX_1, MIX_2
 from loomspark.llm.queries import queries
@@ -49,6 +50,20 @@ def test_odd_rows(spark):
     assert sorted(r.score for r in classify(docs.repartition(7), labels, SMALL).collect()) == sorted(r.score for r in got)
 
 
+def test_an_id_is_one_row_of_the_sample(spark):
+    rows = [(7, f"text {i} of one id", "en", "x") for i in range(5000)] + [(i, f"other {i}", "en", "x") for i in range(8, 40)] + [(7, None, "en", "x")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7, 40)] * 3, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    usable = [i for i in range(7, 40) if zlib.crc32(str(i).encode()) % 5]
+    got = quality.sampled(docs, labels, Settings(sample=10)).collect()
+    assert len(got) == 10 and len({r.doc_id for r in got} & set(usable)) == 10
+    whole = quality.sampled(docs, labels, Settings()).collect()
+    assert sorted(r.doc_id for r in whole) == usable and sorted(map(tuple, whole)) == sorted(map(tuple, quality.sampled(docs.repartition(7), labels, Settings()).collect()))
+    weights, _ = quality.fit(docs, labels, Settings(bits=10, steps=5, sample_bytes=400))  # a few rows fill the bound
+    assert np.isfinite(weights).all() and weights.any()
+    assert not quality.fit(docs, labels, Settings(bits=10, steps=5, sample_bytes=0))[0].any()
+
+
 def test_empty_tables(spark):
     docs, labels, rows = docs_and_labels(spark)
     assert classify(docs.limit(0), labels, SMALL).count() == keep_good(docs.limit(0), labels, SMALL).count() == 0

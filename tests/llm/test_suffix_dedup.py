@@ -92,6 +92,25 @@ def test_splits_that_change_between_jobs(spark, tmp_path):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_force(rows)
 
 
+def test_batches_are_bounded_by_bytes_too(spark, tmp_path):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = text(900)
+    rows = [(i, text(150_000) + passage + text(1000 + i)) for i in range(4)] + [(i, f"short {i} {passage[i:250 + i]}") for i in range(4, 40)] + [(90, None), (91, "")]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.set(name, "200000")
+    try:
+        packed = docs.selectExpr("monotonically_increasing_id() AS row_no", "text", "doc_id").mapInArrow(lambda x: suffix_dedup._packed(x, 10), suffix_dedup.PACKED).collect()
+        assert len({r.batch for r in packed}) == len(packed) > 2 and max(r["size"] for r in packed) < 400_000
+        got = remove_repeats(docs, texts=False).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_force(rows)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
