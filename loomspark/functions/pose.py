@@ -26,7 +26,7 @@ def unit(q: Column) -> Column:
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return scalar_last(scalar.quaternion_multiply(scalar_first(a), scalar_first(b)))
+    return scalar.bound(scalar_last, scalar.quaternion_multiply(scalar.bound(scalar_first, a), scalar.bound(scalar_first, b)))
 
 
 def conjugate(q: Column) -> Column:
@@ -37,13 +37,14 @@ def conjugate(q: Column) -> Column:
 def rotate(q: Column, p: Column) -> Column:
     """A point turned by a unit quaternion: p + 2 w (v x p) + 2 v x (v x p)."""
 
-    def cross(a: list[Column], b: list[Column]) -> list[Column]:
-        return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    def cross(a: Column, b: Column) -> Column:
+        return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 
-    axis, point = [q[i] for i in range(3)], [p[i] for i in range(3)]
-    once = cross(axis, point)
-    twice = cross(axis, once)
-    return F.array(*(point[i] + (q[3] * once[i] + twice[i]) * 2 for i in range(3)))
+    def turned(q: Column, p: Column, once: Column) -> Column:
+        twice = cross(q, once)
+        return F.array(*(p[i] + (q[3] * once[i] + twice[i]) * 2 for i in range(3)))
+
+    return scalar.bound(lambda q, p: scalar.bound(turned, q, p, cross(q, p)), q, p)
 
 
 def from_matrix(m: Column, tolerance: float = 1e-4) -> Column:
@@ -73,18 +74,24 @@ def transform(source: Column, target: Column, shift: Column, turn: Column, confi
 
 def compose(left: Column, right: Column) -> Column:
     """First ``right``, then ``left``; null unless the frame between them is the same."""
-    moved = F.zip_with(left["shift"], rotate(left["turn"], right["shift"]), lambda x, y: x + y)
-    found = transform(right["source"], left["target"], moved, multiply(left["turn"], right["turn"]), F.least(left["confidence"], right["confidence"]))
-    return F.when(left["source"] == right["target"], found)
+
+    def both(left: Column, right: Column) -> Column:
+        moved = F.zip_with(left["shift"], rotate(left["turn"], right["shift"]), lambda x, y: x + y)
+        found = transform(right["source"], left["target"], moved, multiply(left["turn"], right["turn"]), F.least(left["confidence"], right["confidence"]))
+        return F.when(left["source"] == right["target"], found)
+
+    return scalar.bound(both, left, right)
 
 
 def inverse(t: Column) -> Column:
-    back = conjugate(t["turn"])
-    return transform(t["target"], t["source"], F.transform(rotate(back, t["shift"]), lambda v: -v), back, t["confidence"])
+    def turned(t: Column, back: Column) -> Column:
+        return transform(t["target"], t["source"], F.transform(rotate(back, t["shift"]), lambda v: -v), back, t["confidence"])
+
+    return scalar.bound(lambda t: scalar.bound(turned, t, conjugate(t["turn"])), t)
 
 
 def apply(t: Column, point: Column) -> Column:
-    return F.zip_with(t["shift"], rotate(t["turn"], point), lambda x, y: x + y)
+    return scalar.bound(lambda t, point: F.zip_with(t["shift"], rotate(t["turn"], point), lambda x, y: x + y), t, point)
 
 
 def two_arms(values: Column, slack: float = 1e-6) -> Column:

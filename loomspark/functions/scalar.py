@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,22 +141,30 @@ def lerp(x0: Column, y0: Column, x1: Column, y1: Column, x: Column) -> Column:
     return F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
 
 
+def bound(f: Callable[..., Column], *columns: Column) -> Column:
+    """``f`` of columns that are computed once, however often ``f`` names them, so that nested calls don't multiply the plan."""
+    row = F.struct(*(c.alias(f"x{i}") for i, c in enumerate(columns)))
+    return F.get(F.transform(F.array(row), lambda r: f(*(r[f"x{i}"] for i in range(len(columns))))), F.lit(0))
+
+
 def quaternion_multiply(a: Column, b: Column) -> Column:
     """Hamilton product of (w, x, y, z) arrays, brought to length one."""
-    w1, x1, y1, z1 = (a[i] for i in range(4))
-    w2, x2, y2, z2 = (b[i] for i in range(4))
-    out = F.array(
-        w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2,
-        w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2,
-        w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2,
-        w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2,
-    )
-    return F.transform(out, lambda v: v / norm(out))
+
+    def product(a: Column, b: Column) -> Column:
+        w1, x1, y1, z1 = (a[i] for i in range(4))
+        w2, x2, y2, z2 = (b[i] for i in range(4))
+        return F.array(
+            w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2,
+            w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2,
+            w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2,
+            w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2,
+        )
+
+    return bound(lambda out: F.transform(out, lambda v: v / norm(out)), bound(product, a, b))
 
 
 def quaternion_inverse(q: Column) -> Column:
-    size = dot(q, q)
-    return F.array(q[0] / size, -q[1] / size, -q[2] / size, -q[3] / size)
+    return bound(lambda q: bound(lambda size: F.array(q[0] / size, -q[1] / size, -q[2] / size, -q[3] / size), dot(q, q)), q)
 
 
 def slerp(a: Column, b: Column, t: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Estimates that iterate or enumerate inside one group: robust lines, assignments."""
+"""Estimates that iterate or enumerate inside one group: assignments."""
 
 from __future__ import annotations
 
@@ -17,30 +17,6 @@ def _types(rows: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
-def huber_line(rows: DataFrame, keys: Sequence[str], x: str, y: str, delta: float = 1.345, most_rounds: int = 20) -> DataFrame:
-    """Slope and intercept per group by reweighted least squares with Huber weights; null for fewer than two different x."""
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        slope = intercept = None
-        weight = np.ones(len(a))
-        for _ in range(most_rounds if len(np.unique(a)) > 1 else 0):
-            mx, my = np.average(a, weights=weight), np.average(b, weights=weight)
-            new = ((weight * (a - mx) * (b - my)).sum() / (weight * (a - mx) ** 2).sum(),)
-            done = slope is not None and abs(new[0] - slope) < 1e-10
-            slope, intercept = new[0], my - new[0] * mx
-            if done:
-                break
-            gap = np.abs(b - intercept - slope * a)
-            scale = max(1.4826 * np.median(gap), 1e-9)
-            weight = np.minimum(1.0, delta * scale / np.maximum(gap, 1e-12))
-        return pd.DataFrame([[*key, slope, intercept, len(a)]], columns=[*keys, "slope", "intercept", "n"])
-
-    return rows.select(*keys, x, y).groupBy(*keys).applyInPandas(fit, f"{_types(rows, keys)}, slope double, intercept double, n long")
-
-
 def best_permutation(rows: DataFrame, keys: Sequence[str], source: str, target: str, cost: str, margin: float, most: int = 6) -> DataFrame:
     """Per group of up to ``most`` sources and as many targets the cheapest pairing, and whether it beats the straight one by the margin.
 

@@ -28,4 +28,4 @@ def read(spark: SparkSession, sf_dir: str, *names: str):
     return found[0] if len(found) == 1 else found
 
 
-from loomspark.queries import checks, files, fits, folds, merges, motions, selecting, statistics, structures, timelines, vectors  # noqa: E402, F401
+from loomspark.queries import audits, checks, files, fits, folds, merges, motions, selecting, statistics, structures, timelines, vectors  # noqa: E402, F401

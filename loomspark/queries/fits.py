@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalar
-from loomspark.operators import fitting, resampling, selection
+from loomspark.operators import fitting, resampling, robust, selection
 from loomspark.queries import query, read
 
 R = "e[1]::DOUBLE AS r, e[2]::DOUBLE AS p, e[3]::DOUBLE AS y"
@@ -33,11 +33,20 @@ def pinhole(spark, d):
     return rows.select("vec_id", F.round("p.u", 3).alias("u"), F.round("p.v", 3).alias("v"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT l_linestatus, l_orderkey % 50 AS part, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+h AS (SELECT 1 AS round, l_linestatus, part, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, min(x) = max(x) AS done, count(*) AS n FROM p GROUP BY l_linestatus, part
+UNION ALL SELECT round + 1, l_linestatus, part, new, my - new * mx, abs(new - slope) < 1e-10, n FROM (
+  SELECT round, l_linestatus, part, slope, n, sum(w * y) / sum(w) AS my, sum(w * x) / sum(w) AS mx, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS new FROM (
+    SELECT *, least(1, 1.345 * greatest(1.4826 * median(gap) OVER (PARTITION BY l_linestatus, part), 1e-9) / greatest(gap, 1e-12)) AS w FROM (
+      SELECT h.round, h.l_linestatus, h.part, h.slope, h.n, x, y, abs(y - intercept - slope * x) AS gap FROM h JOIN p ON h.l_linestatus = p.l_linestatus AND h.part = p.part WHERE NOT done AND round < 20))
+  GROUP BY round, l_linestatus, part, slope, n))
+SELECT l_linestatus, part, round(arg_max(slope, round), 6) AS slope, round(arg_max(intercept, round), 6) AS intercept, any_value(n) AS n FROM h GROUP BY 1, 2"""
+)
 def huber_fit(spark, d):
     """A robust line of price over quantity for each line status, by part of the order keys."""
     rows = read(spark, d, "lineitem").select("l_linestatus", (F.col("l_orderkey") % 50).alias("part"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
-    found = fitting.huber_line(rows, ["l_linestatus", "part"], "l_quantity", "price")
+    found = robust.huber_line(rows, ["l_linestatus", "part"], "l_quantity", "price")
     return found.select("l_linestatus", "part", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
 
 
