@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,7 @@ def gate_report(measured: DataFrame, keys: Sequence[str], gate: str, score: str,
 
 def assess_against_baseline(
     candidates: DataFrame,
-    baseline: DataFrame,
+    baseline: DataFrame | Column,
     keys: Sequence[str],
     weights: Mapping[str, float],
     floors: Mapping[str, float],
@@ -41,12 +41,18 @@ def assess_against_baseline(
 ) -> DataFrame:
     """Candidates with shortfall, excess, utility and penalised utility against the baseline of their keys.
 
+    ``baseline`` is a table, or says which of the candidates' rows, one for
+    their keys, is theirs; then no join is needed.
     shortfall adds up what metrics lack to their floors, excess what they fall
     behind the baseline by more than the tolerance. A candidate without a
     baseline has nulls and is not accepted.
     """
-    base = baseline.select(*keys, *(F.col(m).alias(f"base_{m}") for m in weights))
-    joined = candidates.join(base, list(keys), "left")
+    if isinstance(baseline, Column):
+        own = Window.partitionBy(*keys)
+        joined = candidates.withColumns({f"base_{m}": F.max(F.when(baseline, F.col(m))).over(own) for m in weights})
+    else:
+        base = baseline.select(*keys, *(F.col(m).alias(f"base_{m}") for m in weights))
+        joined = candidates.join(base, list(keys), "left")
     shortfall = sum((F.greatest(F.lit(0.0), F.lit(floors[m]) - F.col(m)) for m in floors), F.lit(0.0))
     excess = sum((F.greatest(F.lit(0.0), F.col(f"base_{m}") - F.col(m) - F.lit(tolerance)) for m in weights), F.lit(0.0))
     missing = F.greatest(*(F.col(f"base_{m}").isNull().cast("int") for m in weights), F.lit(0)) == 1

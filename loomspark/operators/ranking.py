@@ -7,23 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources.folders import stored
 
-def ranked(rows: DataFrame, order: Sequence[Column], rank: str = "rank", total: str = "total", bins: int = 200) -> DataFrame:
-    """``rows`` with their place from 1 in ascending ``order`` and the number of all rows.
 
-    Rows are dealt into bins by approximate quantiles of the first of ``order``,
-    a number or a time; each bin is ranked by itself and starts behind those
-    before it. The bounds and one count for each bin are all that is broadcast.
-    Rows that are equal in the first of ``order`` share a bin. Nulls come first,
-    what isn't a number last.
+def ranked(rows: DataFrame, order: Sequence[Column], rank: str = "rank", total: str = "total", bins: int | None = None) -> DataFrame:
+    """``rows`` with their place from 1 in ``order`` and the number of all rows.
+
+    Spark deals the rows into ranges of all of ``order``, so rows that are equal
+    in the first of it only don't have to share a range, and they are stored
+    once as they are dealt. Each range is ranked by itself and starts behind
+    those before it; one count for each range is all that is broadcast. There
+    are ``bins`` ranges, or as many as the session has shuffle partitions.
+    Ascending, nulls come first and what isn't a number last. Rows that are
+    equal in all of ``order`` go in any order.
     """
-    shares = [i / bins for i in range(1, bins)]
-    bounds = sorted(set(rows.select(order[0].alias("_o")).agg(F.percentile_approx("_o", shares, 10_000).alias("b")).first()["b"] or []))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < order[0])) if bounds else F.lit(0)
-    dealt = rows.withColumn("_bin", F.when(order[0].isNull(), 0).otherwise(at))
-    sizes = dealt.groupBy("_bin").agg(F.count("*").alias("_n"))
+    dealt = rows.repartitionByRange(bins, *order) if bins else rows.repartitionByRange(*order)
+    held = stored(dealt.withColumn("_bin", F.spark_partition_id()), "ranked")
+    sizes = held.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias(total))
     own = F.row_number().over(Window.partitionBy("_bin").orderBy(*order))
-    found = dealt.withColumn(rank, own).join(F.broadcast(starts), "_bin")
+    found = held.withColumn(rank, own).join(F.broadcast(starts), "_bin")
     return found.select(*rows.columns, (F.col(rank) + F.col("_before")).alias(rank), total)

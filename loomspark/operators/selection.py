@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.ranking import ranked
+
 
 def best_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], eligible: Column | None = None) -> DataFrame:
     """The first row of each group in the given order, among eligible rows; groups without one have no row."""
@@ -81,8 +83,8 @@ def dag_rank(nodes: DataFrame, needs: DataFrame, node: str, needed: str, priorit
     )
     waiting = needs.groupBy(F.col(needed).alias(node)).agg(F.count_distinct(needs[node]).alias("unblocks"))
     joined = nodes.join(open_needs, node, "left").join(waiting, node, "left").fillna(0, ["open_needs", "unblocks"])
-    place = F.row_number().over(Window.orderBy("open_needs", F.col("unblocks").desc(), F.col(priority).desc(), node))
-    return joined.withColumn("place", place)
+    order = [F.col("open_needs"), F.col("unblocks").desc(), F.col(priority).desc(), F.col(node)]
+    return ranked(joined, order, "place", "_nodes").drop("_nodes")
 
 
 def blocked_bins(rows: DataFrame, entity: str, at: str, score: str, low: float, high: float, bins: int) -> DataFrame:

@@ -238,3 +238,13 @@ def test_suppression_of_one_long_entity(spark):
     rows = spark.range(n).selectExpr("1 AS k", "id AS i", "CAST(id AS DOUBLE) AS s")  # one piece: each row is beaten by the next
     got = series.non_maximum_suppression(rows, "k", "i", "s", 4).agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high")).first()
     assert (got.n, got.low, got.high) == (n // 4, 3, n - 1)
+
+
+def test_ranges_split_rows_that_are_equal_in_the_first_column(spark):
+    rows = spark.range(20_000).selectExpr("CAST(1 AS DOUBLE) AS x", "(id * 7919) % 20000 AS i")
+    got = ranking.ranked(rows, [F.col("x"), F.col("i").desc()], "place", "n", 8)
+    assert got.filter("place <> 20000 - i OR n <> 20000").count() == 0
+    plan = got._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan.split("== Physical Plan ==")[0]
+    spread = spark.range(20_000).selectExpr("1 AS x", "id AS i").repartitionByRange(8, "x", "i").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < 5000
