@@ -306,3 +306,19 @@ def pricing_summary(spark, d):
     return lines.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count("*").alias("n")
     )
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'Bad id' ELSE 'rec.' || o_orderkey END AS record_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 7 = 1 THEN '+05:30' ELSE 'Z' END AS recorded_at, o_orderkey % 13 = 0 AS blank, o_orderstatus = 'F' AND o_orderkey % 5 = 0 AS bare FROM orders),
+b AS (SELECT o_orderkey, record_id, recorded_at, list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'id' END, CASE WHEN o_orderkey % 7 = 0 THEN 'time' END, CASE WHEN blank THEN 'summary' END, CASE WHEN bare THEN 'F_evidence' END], lambda x: x IS NOT NULL) AS broken FROM r)
+SELECT o_orderkey, record_id, recorded_at, broken FROM b WHERE len(broken) > 0"""
+)
+def record_rules(spark, d):
+    """Records with an unsafe id, a time without an offset, a blank summary, or without the evidence that their status needs."""
+    i = F.col("o_orderkey")
+    offset = F.when(i % 7 == 0, "").when(i % 7 == 1, "+05:30").otherwise("Z")
+    rows = read(spark, d, "orders").select(
+        "o_orderkey", F.when(i % 11 == 0, "Bad id").otherwise(F.concat(F.lit("rec."), i)).alias("record_id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), offset).alias("recorded_at"),
+        F.when(i % 13 == 0, "  ").otherwise("done").alias("summary"), F.col("o_orderstatus").alias("status"), F.when((F.col("o_orderstatus") == "F") & (i % 5 == 0), F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("evidence"),
+    )
+    return gates.violations(rows, ledger.record_rules({"F": ["evidence"]})).select("o_orderkey", "record_id", "recorded_at", "broken")

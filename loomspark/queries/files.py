@@ -7,9 +7,11 @@ import contextlib
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from loomspark.plans import steps
 from loomspark.queries import query, read
-from loomspark.sources import commits, digests, lines
+from loomspark.sources import commits, digests, lines, records, states
 from loomspark.sources.folders import own_folder
+from loomspark.streaming import events as streams
 
 #: Events of a file.
 PART = 3_000
@@ -81,3 +83,93 @@ def file_digests(spark, d):
     path = _in_parts(read(spark, d, "events"), F.concat_ws(",", "event_id", "event_type", "user_id"), "digests")
     found = digests.file_digests(spark, path)
     return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "length", "sha256")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    """A CSV file with a header, written and read again by a schema of another order."""
+    rows = read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = own_folder(spark, "csv")
+    records.write_csv(rows, path)
+    return records.read_csv(spark, path, StructType([rows.schema[c] for c in ("c_mktsegment", "c_acctbal", "c_custkey", "c_name", "c_nationkey")])).select(*rows.columns)
+
+
+@query("SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE l_returnflag = 'R'")
+def parts_rewrite(spark, d):
+    """Lines in folders of their return flag; of the folder and the columns that are wanted only these are read."""
+    path = own_folder(spark, "parts")
+    records.write_parts(read(spark, d, "lineitem"), path, ["l_returnflag"])
+    return records.read_parts(spark, path, ["l_orderkey", "l_quantity", "l_returnflag"]).filter("l_returnflag = 'R'")
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS kind, c_acctbal AS used FROM customer")
+def csv_text_rows(spark, d):
+    """Rows out of texts of CSV lines, a hundred customers to a text."""
+    line = F.concat_ws(", ", "c_custkey", "c_mktsegment", F.col("c_acctbal").cast("string"))
+    texts = read(spark, d, "customer").groupBy((F.col("c_custkey") / 100).cast("long")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    return records.rows_from_csv_text(texts, "text", "id BIGINT, kind STRING, used DOUBLE")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def checked_union(spark, d):
+    """Tables of each kind of event as one table whose keys are unique."""
+    events = read(spark, d, "events").select("event_id", "user_id", "value", "event_type")
+    early = F.col("event_type") < "m"
+    return records.union_checked([events.filter(early).drop("event_type"), events.filter(~early).drop("event_type")], ["event_id"])
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT user_id AS thread, max(n) AS number, arg_max('{"event_id":' || event_id || ',"n":' || n || '}', n) AS state FROM e GROUP BY 1"""
+)
+def state_store(spark, d):
+    """Each user's events as numbered states, appended in two commits; the last of each user."""
+    rows = read(spark, d, "events").select("user_id", "event_id", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)").cast("long").alias("n"))
+    rows = rows.select(F.col("user_id").alias("thread"), F.col("n").alias("number"), F.to_json(F.struct("event_id", "n")).alias("state"))
+    folder = own_folder(spark, "states")
+    states.append_states(rows.filter("number <= 3"), folder)
+    states.append_states(rows.filter("number > 3"), folder)
+    return states.latest_states(spark, folder).select("thread", "number", "state")
+
+
+@query("SELECT event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value, (SELECT count(*) FROM events) AS logged FROM events GROUP BY 1")
+def event_log(spark, d):
+    """Events that stream into a log a few files at a time; the newest of each kind and the length of the log."""
+    rows = read(spark, d, "events").select("event_id", "event_type", "value")
+    folder = own_folder(spark, "log")
+    rows.repartitionByRange(4, "event_id").write.parquet(f"{folder}/in")
+    stream = streams.read_stream(spark, f"{folder}/in", rows.schema, 1)
+    streams.append_log(stream, f"{folder}/log", f"{folder}/latest", "event_type", "event_id", f"{folder}/checkpoint").awaitTermination()
+    logged = spark.read.parquet(f"{folder}/log").agg(F.count("*").alias("logged"))
+    return streams.latest_state(spark, f"{folder}/latest", "event_type", "event_id").select("event_type", "event_id", "value").crossJoin(F.broadcast(logged))  # one row
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
+def windowed_counts(spark, d):
+    """Events of each kind and hour."""
+    rows = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streams.windowed_counts(rows, "ts", "event_type", "value", "1 hour", "2 hours")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, run"""
+)
+def user_sessions(spark, d):
+    """Runs of each user's events with pauses under six hours."""
+    rows = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streams.sessions(rows, "ts", "user_id", "6 hours", "1 day")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT c_nationkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def planned_totals(spark, d):
+    """Two steps of a plan, each written and read again; the second run of the plan finds both done."""
+    orders, customers = read(spark, d, "orders", "customer")
+    joined = steps.Step("joined", ["orders", "customers"], lambda s, t: t["orders"].join(t["customers"], F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_totalprice"))
+    summed = steps.Step("summed", ["joined"], lambda s, t: t["joined"].groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")))
+    folder, given = own_folder(spark, "plan"), {"orders": orders, "customers": customers}
+    steps.run(spark, [summed, joined], folder, given)
+    return steps.run(spark, [summed, joined], folder, given)["summed"]

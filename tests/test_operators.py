@@ -248,3 +248,10 @@ def test_ranges_split_rows_that_are_equal_in_the_first_column(spark):
     assert "SinglePartition" not in plan.split("== Physical Plan ==")[0]
     spread = spark.range(20_000).selectExpr("1 AS x", "id AS i").repartitionByRange(8, "x", "i").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in spread) < 5000
+
+
+def test_rules_of_records(spark):
+    rows = [("a.1", "2024-01-01T00:00:00Z", "done", "WORKING", ["e"]), ("A", "2024-01-01T00:00:00", " ", "WORKING", []), ("b", "2024-13-01T00:00:00Z", None, "PARTIAL", []), (None, None, "x", None, None), ("c", "2024-01-01T00:00:00.5+05:30", "x", "WORKING", None)]
+    frame = spark.createDataFrame(rows, "record_id string, recorded_at string, summary string, status string, evidence array<string>")
+    got = {r.record_id: list(r.broken) for r in gates.violations(frame, ledger.record_rules({"WORKING": ["evidence"]})).collect()}
+    assert got == {"A": ["id", "time", "summary", "WORKING_evidence"], "b": ["time", "summary"], None: ["id", "time", "WORKING_evidence"], "c": ["WORKING_evidence"]}
