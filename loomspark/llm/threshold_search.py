@@ -32,7 +32,7 @@ from loomspark.llm.common import BLOCK_BYTES, cut, in_blocks, in_text_batches
 #: Terms of UTF-8 bytes, before A to Z are lower-cased: digits, letters and everything beyond ASCII.
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Postings of a shard, the depth of a query's first round (each round goes twice as deep as the one before), and scores looked up at once.
-POSTINGS, DEPTH, CELLS = 1 << 20, 16, 1 << 20
+POSTINGS, DEPTH, CELLS = 1 << 19, 16, 1 << 18
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
