@@ -45,15 +45,17 @@ def next_of_another_group(rows: DataFrame, keys: Sequence[str], order: str, grou
     Rows in order fall into runs of one group. The next row of another group is
     the first of the next run, and after the last run the first row of all
     unless that is of the same group, in which case the first of the second
-    run. Two windows do it; no row meets another.
+    run. Windows do it, no row meets another, and each of them passes over a
+    key's rows once: the next run is looked for from the last run backwards, as
+    Spark reads a frame that ends with the rows once for each row.
     """
     own = Window.partitionBy(*keys).orderBy(order)
     new = F.when(F.col(group).eqNullSafe(F.lag(group).over(own)) & F.lag(F.lit(1)).over(own).isNotNull(), 0).otherwise(1)
     runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(own))
     head = F.when(F.col("_new") == 1, F.struct(F.col(order).alias("o"), F.col(group).alias("g")))
-    ahead = own.rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_run")).rangeBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    firsts = runs.withColumn("_head", head).withColumn("_next", F.first("_head", ignorenulls=True).over(ahead))
+    firsts = runs.withColumn("_head", head).withColumn("_next", F.last("_head", ignorenulls=True).over(ahead))
     firsts = firsts.withColumn("_one", F.min(F.when(F.col("_run") == 1, F.col("_head"))).over(whole)).withColumn(
         "_two", F.min(F.when(F.col("_run") == 2, F.col("_head"))).over(whole)
     )

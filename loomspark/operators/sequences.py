@@ -67,7 +67,7 @@ def nearest_fill(rows: DataFrame, keys: Sequence[str], at: str, value: str, name
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     order = Window.partitionBy(*keys).orderBy(at)
     both = rows.withColumn("_b", F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    both = both.withColumn("_a", F.first(known, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    both = both.withColumn("_a", F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     before, after = F.col(at) - F.col("_b.t"), F.col("_a.t") - F.col(at)
     later = F.col("_b").isNull() | (F.col("_a").isNotNull() & (after < before))
     gap, picked = F.when(later, after).otherwise(before), F.when(later, F.col("_a.v")).otherwise(F.col("_b.v"))

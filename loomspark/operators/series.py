@@ -221,8 +221,8 @@ def as_of(points: DataFrame, knots: DataFrame, keys: Sequence[str], at: str, val
     place = F.when(F.col("_is") == 0, F.struct(F.col(at).alias("t"), F.col("_knot").alias("v")))
     order = Window.partitionBy(*keys).orderBy(at, "_is")
     back = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_b", F.last(place, ignorenulls=True).over(back)).withColumn("_a", F.first(place, ignorenulls=True).over(ahead)).filter("_is = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_is")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_b", F.last(place, ignorenulls=True).over(back)).withColumn("_a", F.last(place, ignorenulls=True).over(ahead)).filter("_is = 1")
     t = F.col(at)
     got = (
         F.when(F.col("_b.t") == t, F.col("_b.v"))
@@ -240,7 +240,7 @@ def nearest(points: DataFrame, knots: DataFrame, keys: Sequence[str], at: str, n
     place = F.when(F.col("_is") == 0, F.col(at))
     order = Window.partitionBy(*keys).orderBy(at, "_is")
     back = F.last(place, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first(place, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ahead = F.last(place, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_is")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = both.withColumn("_b", back).withColumn("_a", ahead).filter("_is = 1")
     later = F.col("_b").isNull() | (F.col("_a") - F.col(at) < F.col(at) - F.col("_b"))
     return found.withColumn(name, F.when(later, F.col("_a")).otherwise(F.col("_b"))).drop("_is", "_a", "_b")
@@ -260,7 +260,7 @@ def fill_linear(rows: DataFrame, keys: Sequence[str], at: str, value: str, name:
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).cast("double").alias("v")))
     order = _by(keys, at)
     back = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first(known, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ahead = F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = rows.withColumn("_b", back).withColumn("_a", ahead)
     inner = lerp(F.col("_b.t"), F.col("_b.v"), F.col("_a.t"), F.col("_a.v"), F.col(at))
     filled = F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), inner)

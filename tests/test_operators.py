@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,15 @@ def test_donor_of_another_group(spark):
     assert got == {(1, 0): 2, (1, 1): 2, (1, 2): 3, (1, 3): 4, (1, 4): 2, (2, 0): None, (2, 1): None}
 
 
+def test_no_window_reads_the_rows_ahead_once_for_each_row(spark):
+    from loomspark.operators import sequences
+
+    rows = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("i"), (F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    found = [joins.next_of_another_group(rows, ["k"], "i", "g"), series.as_of(rows, rows, ["k"], "i", "v", 0.0), series.nearest(rows, rows, ["k"], "i", "n"), series.fill_linear(rows, ["k"], "i", "v"), sequences.nearest_fill(rows, ["k"], "i", "v")]
+    for df in found:
+        assert not re.search(r"RowFrame, [^,]*(?<!unboundedpreceding\$\(\)), unboundedfollowing", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_ledger(spark):
     rows = spark.createDataFrame([("t1", 1, "PARTIAL", []), ("t2", 2, "WORKING", ["t1", "t9"])], "id string, n int, status string, gone array<string>")
     assert [r.id for r in ledger.active(rows, "id", "gone").collect()] == ["t2"]
