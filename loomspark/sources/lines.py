@@ -93,12 +93,14 @@ def ledger_faults(spark: SparkSession, paths: str | Sequence[str], schema: Struc
 
     Earlier means by path and then by line. ``links`` is an array of keys. One
     line can have several faults; links that name the same key count once.
+    Keys meet by a shuffle: stored lines are so small on disk that Spark would
+    broadcast all keys through the driver.
     """
     parsed, fault = _fault(schema, True)
     read = numbered_lines(spark, paths).filter(F.trim("text") != "").select("path", "line", fault.alias("fault"), parsed[key].alias("key"), parsed[links].alias("links"))
     rows = stored(read, "ledger")
     good = rows.filter("fault IS NULL").select("path", "line", "key", "links")
-    first = good.groupBy("key").agg(F.min(F.struct("path", "line")).alias("_first"))
+    first = good.groupBy("key").agg(F.min(F.struct("path", "line")).alias("_first")).hint("merge")
     own = F.struct("path", "line")
     twice = good.join(first, "key").filter(own > F.col("_first")).select("path", "line", "key", F.lit("key exists").alias("fault"))
     linked = good.select("path", "line", F.col("key").alias("_key"), F.explode(F.array_distinct("links")).alias("key")).join(first, "key", "left")

@@ -73,6 +73,13 @@ def test_ledger_faults(spark, tmp_path):
     assert got == [(3, "b", "links to b"), (3, "b", "links to c"), (4, "a", "key exists"), (6, "-", "no record"), (7, "d", "missing field")]
 
 
+def test_ledger_faults_broadcast_no_keys(spark, tmp_path):
+    schema = StructType().add("key", "string").add("links", ArrayType(StringType()))
+    (tmp_path / "l.jsonl").write_text("\n".join(f'{{"key": "{i}", "links": []}}' for i in range(100)))
+    found = lines.ledger_faults(spark, f"{tmp_path}/l.jsonl", schema, "key", "links")
+    assert found.count() == 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def together(*jobs):
     """Runs the jobs at the same time; what each returned or raised."""
     found = [None] * len(jobs)
