@@ -22,6 +22,15 @@ def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded half away from zero as SQL does it, by its product with a power of ten; what is negative stays so, -0.0 too.
+
+    Spark's ``round`` goes by decimal digits and has no negative zero.
+    """
+    size = F.abs(x) * F.lit(10.0**places)
+    return F.when(size < float("inf"), F.signum(x) * (F.round(size) / F.lit(10.0**places))).otherwise(x)
+
+
 def clamp_vector(values: Column, lows: Column, highs: Column) -> Column:
     """Element by element; all three arrays have one length."""
     floored = F.zip_with(values, lows, lambda v, lo: F.greatest(v, lo))

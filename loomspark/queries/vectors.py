@@ -144,4 +144,4 @@ def clamp_limits(spark, d):
     lows = F.array(*(F.lit(-0.1) for _ in range(7)))
     highs = F.array(*(F.lit(0.1 + i / 100.0) for i in range(1, 8)))
     values = F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double"))
-    return read(spark, d, "embeddings").select("vec_id", F.transform(scalar.clamp_vector(values, lows, highs), lambda x: F.round(x, 6)).alias("clamped"))
+    return read(spark, d, "embeddings").select("vec_id", F.transform(scalar.clamp_vector(values, lows, highs), lambda x: scalar.rounded(x, 6)).alias("clamped"))
