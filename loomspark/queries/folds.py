@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspark.functions.scalar import rounded
 from loomspark.operators import gates, joins, sequences, series
 from loomspark.queries import query, read
 from loomspark.queries.timelines import E, _events
@@ -22,7 +23,7 @@ A = "WITH a AS (SELECT user_id, list(value ORDER BY ts, event_id) AS xs FROM eve
 def clamped_walk(spark, d):
     """A walk whose place is clamped after every step."""
     steps = F.transform("xs", lambda x: (x - 45) / 10)
-    return _arrays(spark, d).select("user_id", F.transform(sequences.clamped_walk(steps, 0.0, -5.0, 5.0), lambda x: F.round(x, 4)).alias("path"))
+    return _arrays(spark, d).select("user_id", F.transform(sequences.clamped_walk(steps, 0.0, -5.0, 5.0), lambda x: rounded(x, 4)).alias("path"))
 
 
 FOLLOW = "list_reduce(list_transform({0}, lambda x: [x]), lambda path, x: list_concat(path, [path[-1] + greatest(-10, least(10, x[1] - path[-1]))]))"
@@ -34,7 +35,7 @@ SELECT user_id, list_transform(list_zip(f, b), lambda p: round((p[1] + p[2]) / 2
 )
 def rate_limiter(spark, d):
     """The values followed with steps of at most 10, forwards and backwards."""
-    return _arrays(spark, d).select("user_id", F.transform(sequences.rate_limited(F.col("xs"), 10.0), lambda x: F.round(x, 4)).alias("path"))
+    return _arrays(spark, d).select("user_id", F.transform(sequences.rate_limited(F.col("xs"), 10.0), lambda x: rounded(x, 4)).alias("path"))
 
 
 @query(f"{A} SELECT user_id, round(list_avg(list_reverse_sort(xs)[1:greatest(1, len(xs) // 20)]), 5) AS tail FROM a")
