@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from loomspark.functions.scalar import rounded
 from loomspark.operators import audits, scores, series
 from loomspark.queries import query, read
 from loomspark.queries.timelines import E, WRAP
@@ -106,7 +107,7 @@ UNION ALL SELECT vec_id, 'hand', [round(2 * e[1], 5), round(1 + e[3], 5), 0.0],
 def fan_out(spark, d):
     """Each vector's first three numbers as actions of two bodies of three and two joints."""
     found = scores.fan_out(_vectors(spark, d).select("vec_id", F.slice("e", 1, 3).alias("x")), "x", _BODIES)
-    return found.select("vec_id", "body", F.transform("actions", lambda x: F.round(x, 5)).alias("actions"), "valid")
+    return found.select("vec_id", "body", F.transform("actions", lambda x: rounded(x, 5)).alias("actions"), "valid")
 
 
 @query(
