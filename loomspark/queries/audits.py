@@ -94,7 +94,7 @@ def rebased_turns(spark, d):
     rows = _vectors(spark, d).withColumn("i", F.expr("row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1").cast("long"))
     source, donor = (rows.select("label", "i", F.col("e")[k].alias("x"), unit(F.slice("e", at, 4)).alias("q")) for k, at in ((0, 3), (1, 7)))
     found = scores.rebased_turns(source, donor, ["label"], "i", 5, ["x"], ["q"])
-    return found.select("label", "i", F.round("x", 5).alias("x"), F.transform("q", lambda y: F.round(y, 5)).alias("q"))
+    return found.select("label", "i", rounded(F.col("x"), 5).alias("x"), F.transform("q", lambda y: rounded(y, 5)).alias("q"))
 
 
 _BODIES = {"arm": ([[1.0, 0.5, 0.0], [0.0, -1.0, 2.0], [0.25, 0.25, 0.25]], [0.1, 0.0, -0.1]), "hand": ([[2.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [0.0, 1.0])}

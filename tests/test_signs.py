@@ -25,7 +25,7 @@ def tiny(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "tables"), [("clamp_limits", ["embeddings"]), ("clamped_walk", ["events"]), ("fan_out", ["embeddings"])])
+@pytest.mark.parametrize(("name", "tables"), [("clamp_limits", ["embeddings"]), ("clamped_walk", ["events"]), ("fan_out", ["embeddings"]), ("rebased_turns", ["embeddings"])])
 def test_same_signs_as_sql(spark, tiny, name, tables):
     duck = duckdb.connect()
     for t in tables:
