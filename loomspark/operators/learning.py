@@ -37,6 +37,8 @@ def leave_one_group_out(rows: DataFrame, group: str, features: Sequence[str], ta
     """For each group the coefficients fitted on all other groups, as an array, intercept first.
 
     The groups' sums, whose number is checked, meet in one task; the rows don't.
+    The fits are as few, so rows should meet them by a broadcast: by a shuffle
+    all rows of a group would be sorted in one task.
     A group that is all there is has null coefficients.
     """
     sums = moments(rows, [group], features, target)
@@ -115,7 +117,7 @@ def fold_regret(rows: DataFrame, fold: str, case: Sequence[str], item: str, feat
     nulls but for the first, and evaluated counts all its items.
     """
     fits = leave_one_group_out(rows, fold, features, target, alpha)
-    scored = rows.join(fits, fold).withColumn("_predicted", predict("coefficients", features)).withColumn("_ok", F.coalesce(F.col(passed), F.lit(False)))
+    scored = rows.join(F.broadcast(fits), fold).withColumn("_predicted", predict("coefficients", features)).withColumn("_ok", F.coalesce(F.col(passed), F.lit(False)))
     keys = [fold, *case]
     tried = scored.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_predicted"), item)))
     one = F.struct(F.col(item).alias("item"), F.col("_predicted").alias("predicted"), F.col(utility).alias("utility"), F.col("_place").alias("place"), F.col("_ok").alias("ok"))

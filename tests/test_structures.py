@@ -197,3 +197,14 @@ def test_regret_of_choosing_by_a_model(spark):
     assert r.predicted == pytest.approx(5.0, abs=1e-3)
     none = got["a", 2]
     assert (none.first, none.selected, none.evaluated, none.oracle, none.regret, none.exact) == ("best", None, 4, None, None, None) and not math.isnan(got["c", 2].regret)
+
+
+def test_rows_meet_the_fits_of_their_group_where_they_are(spark, tmp_path):
+    from loomspark.queries import QUERIES
+
+    rows = spark.range(40).select(*((F.col("id") % k).cast("double").alias(c) for k, c in ((7, "l_quantity"), (5, "l_discount"), (3, "l_tax"), (11, "l_extendedprice"))), F.concat(F.lit("g"), F.col("id") % 2).alias("l_returnflag"), (F.col("id") % 4).alias("l_suppkey"), (F.col("id") % 8).alias("l_linenumber"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("ridge_logo", "fold_regret"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert name == "fold_regret" or "SortAggregate" not in plan
