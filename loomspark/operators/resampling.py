@@ -38,17 +38,28 @@ def draw(seed: int, turn: Column, place: Column, among: Column, *group: str) ->
     return F.pmod(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"), among)
 
 
-def resampled(units: DataFrame, keys: Sequence[str], unit: str, value: str, rounds: int, seed: int) -> DataFrame:
-    """``keys``, round, value and n: of every round as many values as the group has units, drawn with replacement and counted."""
+def draws(units: DataFrame, keys: Sequence[str], unit: str, value: str, rounds: int, seed: int) -> DataFrame:
+    """``keys``, round, _number and value: in every round as many draws as the group has units, with replacement.
+
+    Units are dealt over all tasks before each is multiplied by the rounds; they
+    are small, and Spark would else leave them to few tasks. A draw meets its
+    unit's value by a hash of the units alone, so no task holds draws.
+    """
     held = dense_number(units.select(*keys, unit, F.col(value).cast("double").alias("_value")), keys, unit, "_number", "_units")
-    named = held.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_number").alias("_picked"), "_value")
-    drawn = held.select(*keys, "_number", "_units", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    named = held.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_number"), "_value")
+    dealt = held.select(*keys, "_number", "_units").repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_number")
+    drawn = dealt.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     drawn = drawn.select(*keys, "round", draw(seed, F.col("round"), F.col("_number"), F.col("_units"), *keys).alias("_picked"))
-    counted = drawn.groupBy(*keys, "round", "_picked").agg(F.count("*").alias("n"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return counted.join(named.withColumnRenamed("_picked", "_number"), same & (F.col("_picked") == F.col("_number"))).select(*keys, "round", F.col("_value").alias("value"), "n")
+    return drawn.join(named.hint("shuffle_hash"), same & (F.col("_picked") == F.col("_number"))).select(*keys, "round", "_number", F.col("_value").alias("value"))
+
+
+def resampled(units: DataFrame, keys: Sequence[str], unit: str, value: str, rounds: int, seed: int) -> DataFrame:
+    """``keys``, round, value and n: of every round as many values as the group has units, drawn with replacement and counted."""
+    found = draws(units, keys, unit, value, rounds, seed).groupBy(*keys, "round", "_number").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    return found.select(*keys, "round", "value", "n")
 
 
 def bootstrap_bounds(rows: DataFrame, keys: Sequence[str], unit: str, gain: str, rounds: int, confidence: float, seed: int) -> DataFrame:
@@ -63,7 +74,7 @@ def bootstrap_bounds(rows: DataFrame, keys: Sequence[str], unit: str, gain: str,
     if rounds < 1 or not 0 < confidence < 1:
         raise ValueError("there is a round at least, and the confidence is between 0 and 1")
     means = rows.withColumn("_unit", F.coalesce(F.col(unit).cast("string"), F.lit(""))).groupBy(*keys, "_unit").agg(F.avg(gain).alias("_gain")).filter("_gain IS NOT NULL")
-    sums = resampled(means, keys, "_unit", "_gain", rounds, seed).groupBy(*keys, "round").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_mean"))
+    sums = draws(means, keys, "_unit", "_gain", rounds, seed).groupBy(*keys, "round").agg(F.avg("value").alias("_mean"))
     place = max(0, int((1 - confidence) * rounds) - 1)
     found = sums.groupBy(*keys).agg(
         F.element_at(F.array_sort(F.collect_list("_mean")), place + 1).alias("lower"),
@@ -86,8 +97,8 @@ def resampled_scale(rows: DataFrame, keys: Sequence[str], stratum: str, unit: st
     relative deviation. A resample is held as its different values with their numbers.
     """
     some = rows.filter(F.col(value).isNotNull())
-    drawn = resampled(some, [*keys, stratum], unit, value, rounds, seed)
-    medians = drawn.groupBy(*keys, "round").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("_m"))
+    drawn = draws(some, [*keys, stratum], unit, value, rounds, seed)
+    medians = drawn.groupBy(*keys, "round").agg(F.percentile("value", F.lit(0.5)).alias("_m"))
     spread = medians.groupBy(*keys).agg(F.stddev_samp("_m").alias("_s"))
     middle = some.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
     same = F.lit(True)
