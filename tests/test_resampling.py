@@ -4,6 +4,7 @@ import hashlib
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.operators import resampling
 
@@ -101,3 +102,11 @@ def test_models_that_do_not_match_raise(spark, more):
     rows = [(m, t, t, 1, "ssim", 0.5) for m in ("base", "candidate") for t in ("a", "b")]
     with pytest.raises(Exception, match="must match"):
         resampling.compare_models(records(spark, rows + more), "candidate", {"ssim": True}, rounds=10).collect()
+
+
+def test_no_task_holds_draws(spark):
+    units = spark.range(50).select((F.col("id") % 2).alias("arm"), "id", F.col("id").cast("double").alias("gain"))
+    found = resampling.draws(units, ["arm"], "id", "gain", 20, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
+    assert {(r.arm, r.round): r["count"] for r in found.groupBy("arm", "round").count().collect()} == {(a, r): 25 for a in range(2) for r in range(20)}
