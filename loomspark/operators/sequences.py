@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalar import clamp, dot, norm
+from loomspark.sources.folders import stored
 
 
 def as_array(rows: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "xs") -> DataFrame:
@@ -115,8 +116,10 @@ def grouped_with_padding(rows: DataFrame, keys: Sequence[str], at: str, gap: int
 def closest_on_polyline(points: DataFrame, corners: DataFrame, keys: Sequence[str], point: str, order: str) -> DataFrame:
     """For each point (x, y) the least distance to the line through its entity's corners (cx, cy).
 
-    Entities' lines are short tables; each point meets the segments of its own
-    line only.
+    An entity's area is cut into square cells, about a quarter as many as it has
+    points and at most 512 on a side. A segment is in every cell that it passes
+    within a cell's width, so a distance found in a point's cell that isn't above
+    that width is the least. Points without one meet all segments of their line.
     """
     own = Window.partitionBy(*keys).orderBy(order)
     segments = corners.withColumn("nx", F.lead("cx").over(own)).withColumn("ny", F.lead("cy").over(own)).filter(F.col("nx").isNotNull())
@@ -124,7 +127,23 @@ def closest_on_polyline(points: DataFrame, corners: DataFrame, keys: Sequence[st
     size = dx * dx + dy * dy
     t = F.when(size > 0, clamp(((F.col("x") - F.col("cx")) * dx + (F.col("y") - F.col("cy")) * dy) / size, 0.0, 1.0)).otherwise(0.0)
     gap = F.hypot(F.col("x") - F.col("cx") - t * dx, F.col("y") - F.col("cy") - t * dy)
-    return points.join(segments, list(keys)).withColumn("_gap", gap).groupBy(*keys, point).agg(F.min("_gap").alias("distance"))
+    every = points.select(*keys, "x", "y", F.lit(1).alias("_p")).unionByName(corners.select(*keys, F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0).alias("_p")))
+    side = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / clamp(F.floor(F.sqrt(F.sum("_p")) / 2), 1, 512)
+    grid = every.groupBy(*keys).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.when(side > 0, side).otherwise(1.0).alias("_side"))
+    at = lambda c, low: (F.col(c) - F.col(low)) / F.col("_side")
+    low, high = F.least("_ax", "_bx"), F.greatest("_ax", "_bx")
+    placed = segments.select(*keys, "cx", "cy", "nx", "ny").distinct().join(grid, list(keys)).select("*", at("cx", "_x").alias("_ax"), at("cy", "_y").alias("_ay"), at("nx", "_x").alias("_bx"), at("ny", "_y").alias("_by"))
+    dealt = placed.withColumn("_i", F.explode(F.sequence(F.floor(low) - 1, F.floor(high) + 1)))
+    along = lambda x: F.when(F.col("_ax") == F.col("_bx"), x[1]).otherwise(clamp((x[0] - F.col("_ax")) / F.nullif(F.col("_bx") - F.col("_ax"), F.lit(0.0)), 0.0, 1.0))
+    one, two = along((F.greatest(low, F.col("_i") - 1), 0.0)), along((F.least(high, F.col("_i") + 2), 1.0))
+    rise = F.col("_by") - F.col("_ay")
+    ends = dealt.withColumn("_r", F.col("_ay") + one * rise).withColumn("_s", F.col("_ay") + two * rise)
+    cells = ends.withColumn("_j", F.explode(F.sequence(F.floor(F.least("_r", "_s") - 1e-6) - 1, F.floor(F.greatest("_r", "_s") + 1e-6) + 1))).select(*keys, "_i", "_j", "cx", "cy", "nx", "ny")
+    own_cell = points.join(F.broadcast(grid), list(keys)).withColumn("_i", F.floor(at("x", "_x"))).withColumn("_j", F.floor(at("y", "_y")))
+    near = own_cell.join(cells.hint("merge"), [*keys, "_i", "_j"]).withColumn("_gap", gap).groupBy(*keys, point).agg(F.min("_gap").alias("distance"), F.first("_side").alias("_side"))
+    found = stored(near.filter(F.col("distance") <= F.col("_side")).select(*keys, point, "distance"), "closest")
+    rest = points.join(found.hint("merge"), [*keys, point], "left_anti").join(segments, list(keys)).withColumn("_gap", gap).groupBy(*keys, point).agg(F.min("_gap").alias("distance"))
+    return found.unionByName(rest).groupBy(*keys, point).agg(F.min("distance").alias("distance"))
 
 
 def two_way_assignment(straight: Column, crossed: Column) -> Column:

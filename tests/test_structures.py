@@ -208,3 +208,24 @@ def test_rows_meet_the_fits_of_their_group_where_they_are(spark, tmp_path):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
         assert name == "fold_regret" or "SortAggregate" not in plan
+
+
+def test_points_meet_the_segments_of_their_cell(spark):
+    from loomspark.operators import sequences
+
+    rng = random.Random(3)
+    corners = [(k, i, rng.uniform(-1, 9), rng.uniform(0, 9)) for k in range(2) for i in range(60)] + [(2, 0, 1.0, 1.0), (2, 1, 1.0, 1.0)]
+    points = [(k, i, rng.uniform(-1, 9), float(rng.randrange(10))) for k in range(2) for i in range(200)] + [(2, 0, 4.0, 5.0), (0, 999, 60.0, 60.0)]
+    p, c = spark.createDataFrame(points, "k int, p int, x double, y double"), spark.createDataFrame(corners, "k int, o int, cx double, cy double")
+    found = sequences.closest_on_polyline(p, c, ["k"], "p", "o")
+    assert "closest" in str(found.inputFiles())
+    got = {(r.k, r.p): r.distance for r in found.collect()}
+
+    def far(x, y, a, b):
+        dx, dy = b[2] - a[2], b[3] - a[3]
+        t = min(1, max(0, ((x - a[2]) * dx + (y - a[3]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return math.hypot(x - a[2] - t * dx, y - a[3] - t * dy)
+
+    lines = {k: [r for r in corners if r[0] == k] for k in range(3)}
+    want = {(k, i): min(far(x, y, a, b) for a, b in zip(lines[k], lines[k][1:])) for k, i, x, y in points}
+    assert got.keys() == want.keys() and all(math.isclose(got[q], want[q], abs_tol=1e-9) for q in want)
