@@ -3,24 +3,38 @@
 Units of a group are numbered; draw ``j`` of round ``i`` takes the unit whose
 number is the hash of (seed, i, j, group) modulo the group's units. Rounds and draws
 are rows, so a group of any size is spread over all tasks and no sample is ever
-in one place.
+in one place. Scales draw in the task that has the group's values if they are few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from loomspark.functions import md5
+from loomspark.operators.quantiles import quantiles
+from loomspark.sources.folders import stored
+
+#: The most values of a group whose resamples are drawn in the task that has them, and about how many draws it makes at once.
+FEW, AT_ONCE = 1 << 16, 1 << 13
+
+
+def _part(unit: str) -> Column:
+    return F.coalesce(F.substring(F.md5(F.col(unit).cast("string").cast("binary")), 1, 2), F.lit("~"))
 
 
 def dense_number(rows: DataFrame, keys: Sequence[str], unit: str, number: str = "number", total: str = "total") -> DataFrame:
     """``rows``, one for each unit of a group, with the unit's number from 0 and the group's units.
 
     Units are numbered in 256 parts by the first two digits of their name's MD5 and by name inside a
-    part, and parts start behind those before them, so no task holds a group.
+    part, and parts start behind those before them, so no task holds a group. Units without a name come last.
     """
-    dealt = rows.withColumn("_part", F.substring(F.md5(F.col(unit).cast("string").cast("binary")), 1, 2))
+    dealt = rows.withColumn("_part", _part(unit))
     sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     own = Window.partitionBy(*keys)
     before = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,22 +104,91 @@ def bootstrap_bounds(rows: DataFrame, keys: Sequence[str], unit: str, gain: str,
     return found.join(whole, same).select(*keys, "n", "mean", *(F.when(several, F.col(c)).alias(c) for c in ("lower", "p", "above")))
 
 
-def resampled_scale(rows: DataFrame, keys: Sequence[str], stratum: str, unit: str, value: str, rounds: int, seed: int) -> DataFrame:
+def _same(keys: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
+def _renamed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for i, k in enumerate(keys):
+        rows = rows.withColumnRenamed(k, f"_k{i}")
+    return rows
+
+
+def _medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact medians of groups of any size; what is no number counts as the largest value."""
+    number = F.col(value).cast("double")
+    odd = F.isnan(number)
+    found = quantiles(rows.withColumn("_x", F.when(odd, F.lit(float("inf"))).otherwise(number)), keys, "_x", {name: 0.5})
+    found = found.join(_renamed(rows.groupBy(*keys).agg(F.count_if(odd).alias("_odd")), keys), _same(keys))
+    return found.select(*keys, F.when(F.ceil((F.col("n") - 1) / 2) >= F.col("n") - F.col("_odd"), F.lit(float("nan"))).otherwise(F.col(name)).alias(name))
+
+
+def _middle(values: np.ndarray) -> np.ndarray:
+    """The median of each row, what is no number counting as the largest value."""
+    n = values.shape[1]
+    low, high = (n - 1) // 2, n // 2
+    values = np.partition(values, [low, high], axis=1)
+    return values[:, low] * 0.5 + values[:, high] * 0.5
+
+
+def _drawn_scale(names: np.ndarray, tails: pa.Array, values: np.ndarray, rounds: int, seed: int) -> tuple[float, float | None]:
+    """The median of a group's values and the sample deviation of the medians of its resamples.
+
+    Values are in the order of their numbers, stratum by stratum; ``tails`` is what follows a draw's place in its hash.
+    """
+    strata = tails.dictionary_encode()
+    codes = strata.indices.to_numpy()
+    sizes = np.bincount(codes)
+    bodies = np.concatenate([np.strings.add(names[:n], tail.encode() + md5.END) for n, tail in zip(sizes, strata.dictionary.to_pylist(), strict=True)])
+    among, before = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+    medians = []
+    for turns in np.array_split(np.arange(rounds), -(-rounds * len(values) // max(AT_ONCE, len(values)))):
+        heads = np.array([f"{seed}:{turn}:".encode() for turn in turns])
+        bits = md5.first_bits(np.strings.add(heads[:, None], bodies).ravel()).reshape(len(turns), -1)
+        medians.append(_middle(values[before + bits % among]))
+    medians = np.concatenate(medians)
+    with np.errstate(invalid="ignore"):
+        return _middle(values[None])[0], np.std(medians - medians[0], ddof=1) if rounds > 1 else None
+
+
+def resampled_scale(rows: DataFrame, keys: Sequence[str], stratum: str, unit: str, value: str, rounds: int, seed: int, few: int = FEW) -> DataFrame:
     """Median of a group and the sample deviation of medians over resamples inside every stratum, relative to it.
 
     ``unit`` tells the rows of a stratum apart; null values don't count. A median of 0 has no
-    relative deviation. A resample is held as its different values with their numbers.
+    relative deviation. A group of up to ``few`` values is drawn in the task that has them, so its
+    draws aren't moved. Those of a larger group are rows, stored once, and their medians are found
+    by bins, so no task holds them.
     """
-    some = rows.filter(F.col(value).isNotNull())
-    drawn = draws(some, [*keys, stratum], unit, value, rounds, seed)
-    medians = drawn.groupBy(*keys, "round").agg(F.percentile("value", F.lit(0.5)).alias("_m"))
-    spread = medians.groupBy(*keys).agg(F.stddev_samp("_m").alias("_s"))
-    middle = some.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        spread = spread.withColumnRenamed(k, f"_k{i}")
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return middle.join(spread, same).select(*keys, "median", F.when(F.col("median") != 0, F.col("_s") / F.col("median")).alias("relative"))
+    if rounds < 1:
+        raise ValueError("there is a round at least")
+    some = rows.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, stratum, unit]), F.col(value).cast("double").alias("_value"))
+    large = _renamed(some.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > few), keys)
+    none = large.isEmpty()
+    small = some if none else some.join(large, _same(keys), "left_anti")
+
+    def scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.arange(few).astype(f"S{len(str(few))}")
+        for batch in batches:
+            tails, values = batch.column("_tails"), batch.column("_values")
+            found = [_drawn_scale(names, tails[i].values, values[i].values.to_numpy(), rounds, seed) if len(values[i].values) else (None, None) for i in range(len(batch))]
+            columns = [*batch.columns[: len(keys)], *(pa.array([f[j] for f in found], pa.float64()) for j in range(2))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "median", "_s"])
+
+    # The tasks are as many as the session asks for: the values are small, and Spark would else leave them to few.
+    dealt = small.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    tail = F.concat_ws(":", F.lit(""), *(F.col(k).cast("string") for k in [*keys, stratum]))
+    held = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(tail.alias("tail"), _part(unit).alias("part"), F.col(unit).alias("unit"), F.col("_value").alias("value")))).alias("_r"))
+    schema = StructType([*some.select(*keys).schema.fields]).add("median", DoubleType()).add("_s", DoubleType())
+    found = held.select(*keys, F.col("_r.tail").alias("_tails"), F.col("_r.value").alias("_values")).mapInArrow(scales, schema)
+    if not none:
+        many = some.join(large, _same(keys), "left_semi")
+        drawn = stored(draws(many, [*keys, stratum], unit, "_value", rounds, seed).select(*keys, "round", "value"), "draws")
+        spread = _medians(drawn, [*keys, "round"], "value", "_m").groupBy(*keys).agg(F.stddev_samp("_m").alias("_s"))
+        found = found.unionByName(_medians(many, keys, "_value", "median").join(_renamed(spread, keys), _same(keys)).select(*keys, "median", "_s"))
+    return found.select(*keys, "median", F.when(F.col("median") != 0, F.col("_s") / F.col("median")).alias("relative"))
 
 
 def decide_promotion(

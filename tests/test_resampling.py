@@ -1,11 +1,14 @@
 """Resampling by counters against the same draws in Python, promotion and comparison of models on literal rows."""
 
 import hashlib
+import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import md5
 from loomspark.operators import resampling
 
 
@@ -52,6 +55,45 @@ def test_resampled_scale(spark):
     assert got["spread"][0] == 50.0 and got["spread"][1] == pytest.approx(99 / (2 * 99**0.5) / 50, rel=0.2)
 
 
+def test_digests_of_many_texts_are_those_of_the_library():
+    texts = [b"", b"b\0c\0", *(b"x" * n for n in (54, 55, 56, 63, 64, 119, 120, 300)), *(b"5:%d:%d:purchase" % (i % 7, i) for i in range(200))]
+    for some in (texts, texts[:1], texts[-9:]):
+        got = md5.first_bits(np.array([x + md5.END for x in some]))
+        assert got.tolist() == [int(hashlib.md5(x).hexdigest()[:13], 16) for x in some]
+
+
+def middle(values):
+    """The median, what is no number counting as the largest value."""
+    held = sorted(values, key=lambda v: (math.isnan(v), v))
+    return held[(len(held) - 1) // 2] * 0.5 + held[len(held) // 2] * 0.5
+
+
+def test_scales_are_those_of_the_same_draws_in_groups_of_any_size(spark):
+    rows = [(k, s, i, float((i * 37 + n) % 101) - 20) for n, (k, s) in enumerate([(1, "a"), (1, "bb"), (1, None), (2, "a"), (None, "a"), (2**60 + 1, "é" * 30)]) for i in range(7 * n + 1)]
+    rows += [(2, "a", None, 5.0), (3, "a", 1, None), (4, "a", 1, 2.0), (5, "a", 1, math.nan), (5, "a", 2, math.nan), (5, "a", 3, 1.0), (6, "a", 1, math.inf), (6, "b", 1, 3.0)]
+    frame = spark.createDataFrame(rows, "k long, s string, id long, v double")
+    want = {}
+    for k in {r[0] for r in rows if r[3] is not None}:
+        strata = {s: sorted(((u is None, hashlib.md5(str(u).encode()).hexdigest()[:2], u, v) for q, p, u, v in rows if q == k and p == s and v is not None), key=lambda x: x[:3]) for s in {r[1] for r in rows if r[0] == k}}
+        medians = [middle([held[i][3] for s, held in strata.items() for i in draws(5, turn, len(held), *(x for x in (k, s) if x is not None))]) for turn in range(12)]
+        own = middle([x[3] for held in strata.values() for x in held])
+        want[k] = (own, statistics.stdev(medians) / own if all(map(math.isfinite, [own, *medians])) else math.nan)
+    for few in (resampling.FEW, 20, 0):
+        got = {r.k: (r.median, r.relative) for r in resampling.resampled_scale(frame, ["k"], "s", "id", "v", 12, 5, few).collect()}
+        assert got.keys() == want.keys()
+        for k, pair in want.items():
+            assert got[k] == pytest.approx(pair, nan_ok=True), (few, k)
+    assert [r.relative for r in resampling.resampled_scale(frame, ["k"], "s", "id", "v", 1, 5).collect()] == [None] * len(want)
+    with pytest.raises(ValueError):
+        resampling.resampled_scale(frame, ["k"], "s", "id", "v", 0, 5)
+
+
+def test_scales_of_small_groups_move_no_draws(spark):
+    rows = spark.range(60).select((F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("s"), "id", F.col("id").cast("double").alias("v"))
+    plan = resampling.resampled_scale(rows, ["k"], "s", "id", "v", 50, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "percentile" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def evaluations(spark, rows):
     return spark.createDataFrame(rows, "suite string, `group` string, candidate string, quality double, cost double, eligible boolean")
 
