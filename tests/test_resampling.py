@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import statistics
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import md5
 from loomspark.operators import resampling
+from loomspark.queries import QUERIES
 
 
 def numbers(units):
@@ -152,3 +154,10 @@ def test_no_task_holds_draws(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
     assert {(r.arm, r.round): r["count"] for r in found.groupBy("arm", "round").count().collect()} == {(a, r): 25 for a in range(2) for r in range(20)}
+
+
+@pytest.mark.parametrize("name", ["promotion_matrix", "bootstrap_pair"])
+def test_bounds_hold_no_count_for_each_draw(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keyed = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan)
+    assert any("round#" in k for k in keyed) and not any("round#" in k and ("_number#" in k or "_picked#" in k) for k in keyed)
