@@ -1,8 +1,8 @@
 """BPE encoding and decoding over a trie that shares prefixes.
 
 White space ends every pre-token, so a text is encoded piece by piece (a piece
-is a run without white space) and each distinct piece of a batch once. The
-distinct pre-tokens go into a trie, walked depth first: its state at a prefix
+is a run without white space), by the different words and marks of a batch. The
+distinct pre-tokens of those not met before go into a trie, walked depth first: its state at a prefix
 is the last token of that prefix's encoding. A sequence of tokens is the BPE
 encoding of its text exactly if each token encodes to itself and no neighbours
 would have merged across their border, so the state of a longer prefix is the
@@ -15,11 +15,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loomspark.llm.common import in_text_batches
@@ -31,14 +35,23 @@ ODD = re.compile("[\x1c-\x1f]")
 #: The pre-tokens of lower-case ASCII text in this tokenizer's pattern.
 ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 END, NEVER = "</w>", 1 << 60
-#: Bytes of text that share a trie and that go out in one batch, and how many pre-tokens a task remembers between tries.
-TRIE_BYTES, OUT_BYTES, REMEMBERED = 8 << 20, 1 << 20, 400_000
+#: Bytes of text that share a trie and that go out in one batch.
+TRIE_BYTES, OUT_BYTES = 8 << 20, 1 << 20
+#: How many words a worker remembers from late, and as many from before, how many pairs of tokens, and how many words are split at once.
+REMEMBERED, PAIRS, AT_ONCE = 200_000, 1 << 20, 5000
+#: Marks that are a pre-token of their own behind letters; the apostrophe isn't, letters may follow it.
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
 def pieces(text: str) -> list[str]:
     return PIECE.findall(text) if ODD.search(text) else text.split()
 
 
+def of_letters(word: str) -> bool:
+    """Whether a word is one pre-token of letters as the tokenizer sees it; some letters are a letter and a mark in NFC, others in lower case."""
+    return unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class WordBpe:
     """A BPE tokenizer with word ends, read from its public file."""
 
@@ -63,11 +76,15 @@ class WordBpe:
         #: Tokens that encode to themselves, inside a word and at its end, there without the sign of the end.
         self.inner = {t: i for t, i in usable.items() if not t.endswith(END)}
         self.final = {t.removesuffix(END): i for t, i in usable.items() if t.endswith(END)}
-        self.longest = max(map(len, usable))
+        #: What a token can begin with: where a text isn't, no token that starts there reaches further.
+        self.begins = {t[:n] for known in (self.inner, self.final) for t in known for n in range(1, len(t) + 1)}
         self.packed = {i: i.to_bytes(4, "little") for i in self.names}
         self.fits_known: dict[int, bool] = {}
-        #: Pre-tokens that this worker has met, forgotten when they get too many.
+        #: Words met lately and before; what isn't met again is forgotten.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        #: The text of each id and a space.
+        self.spaced = pa.array([f"{self.names[i]} " if i in self.names else None for i in range(max(self.names) + 1)], pa.large_string())
 
     def edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """The symbols at one end of a token while it grows, each with the rank of the merge that ends it."""
@@ -119,19 +136,24 @@ class WordBpe:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of pre-tokens (in the byte alphabet), little endian; each shared prefix is computed once."""
         found: dict[str, bytes] = {}
-        last, came_from, before = [0], [0], ""  # the trie's path: the last token at each depth, and the depth before it
-        longest, known, packed = self.longest, self.fits_known, self.packed
+        if len(self.fits_known) > PAIRS:
+            self.fits_known.clear()
+        # The trie's path: at each depth the last token, the depth before it, and the first start of a token that may reach it.
+        last, came_from, open_from, before = [0], [0], [0], ""
+        begins, known, packed = self.begins, self.fits_known, self.packed
         for word in sorted(words):
             size = len(word)
             common, n = 0, min(len(before), size - 1, len(last) - 1)
             while common < n and before[common] == word[common]:
                 common += 1
-            del last[common + 1 :], came_from[common + 1 :]
-            tokens = self.inner
+            del last[common + 1 :], came_from[common + 1 :], open_from[common + 1 :]
+            tokens, first = self.inner, open_from[common]
             for depth in range(common + 1, size + 1):
                 if depth == size:
                     tokens = self.final
-                for start in range(depth - longest if depth > longest else 0, depth):
+                while first < depth and word[first:depth] not in begins:
+                    first += 1
+                for start in range(first, depth):
                     token = tokens.get(word[start:depth])
                     if token is not None:
                         if start == 0:
@@ -146,6 +168,7 @@ class WordBpe:
                 if depth < size:
                     last.append(token)
                     came_from.append(start)
+                    open_from.append(first)
             ids = [packed[token]]
             while start:
                 ids.append(packed[last[start]])
@@ -158,32 +181,67 @@ class WordBpe:
         """The pre-tokens of a piece without special tokens, in the byte alphabet."""
         if piece.isascii() and piece.isprintable():
             return ASCII_PRETOKEN.findall(piece.lower())
-        shown = self.library.normalizer.normalize_str(piece)
+        return self.shown_pretokens(piece)
+
+    def shown_pretokens(self, text: str) -> list[str]:
+        shown = self.library.normalizer.normalize_str(text)
         return [t for t, _ in self.library.pre_tokenizer.pre_tokenize_str(shown)]
 
+    def split(self, wanted: Iterable[str]) -> dict[str, list]:
+        """The pre-tokens of pieces, and the packed ids of special tokens between them."""
+        found: dict[str, list] = {}
+        letters: list[str] = []
+        for piece in wanted:
+            if piece.isascii():
+                if piece.isalpha():
+                    found[piece] = [piece.lower()]
+                elif "<|" in piece:
+                    found[piece] = self.around_special(piece)
+                else:
+                    found[piece] = self.pretokens(piece)
+            elif of_letters(piece):
+                letters.append(piece)
+            else:
+                found[piece] = self.around_special(piece)
+        # A word of letters is one pre-token, so many are split in one text.
+        for i in range(0, len(letters), AT_ONCE):
+            some = letters[i : i + AT_ONCE]
+            each = self.shown_pretokens(" ".join(some))
+            if len(each) == len(some):
+                found.update({word: [x] for word, x in zip(some, each, strict=True)})
+            else:
+                found.update({word: self.pretokens(word) for word in some})
+        return found
+
+    def around_special(self, piece: str) -> list:
+        parts: list = []
+        for x in self.special_split.split(piece):
+            if x in self.special:
+                parts.append(self.packed[self.special[x]])
+            elif x:
+                parts += self.pretokens(x)
+        return parts
+
     def encode_pieces(self, wanted: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct pieces."""
+        split = self.split(wanted)
+        of = self.encode_words({x for parts in split.values() for x in parts if isinstance(x, str)})
+        return {p: of[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([of[x] if isinstance(x, str) else x for x in parts]) for p, parts in split.items()}
+
+    def remembered_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, those not met lately by the trie."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        split: dict[str, list] = {}
-        new: set[str] = set()
-        for piece in wanted:
-            if "<|" in piece:
-                parts: list = []
-                for x in self.special_split.split(piece):
-                    if x in self.special:
-                        parts.append(self.special[x].to_bytes(4, "little"))
-                    elif x:
-                        parts += self.pretokens(x)
-            else:
-                parts = self.pretokens(piece)
-            split[piece] = parts
-            for x in parts:
-                if x not in known and isinstance(x, str):
-                    new.add(x)
-        known.update(self.encode_words(new))
-        return {p: b"".join([known[x] if isinstance(x, str) else x for x in parts]) for p, parts in split.items()}
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = []
+        for word in words:
+            if word not in known:
+                if word in before:
+                    known[word] = before[word]
+                else:
+                    new.append(word)
+        known.update(self.encode_pieces(new))
+        return [known[word] for word in words]
 
 
 @lru_cache(maxsize=2)
@@ -205,13 +263,60 @@ def runs(texts: list[str | None], most: int = TRIE_BYTES) -> Iterator[list[str]]
         yield run
 
 
-def encoded_runs(bpe: WordBpe, texts: list[str | None]) -> Iterator[tuple[list[str], dict[str, bytes]]]:
-    """Runs of texts with the ids of all their pieces."""
+def distinct_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different runs without white space, which of them follow one another in all texts, and each text's end among those."""
+    if any(map(ODD.search, texts)):
+        split = pa.array([pieces(text) for text in texts], pa.large_list(pa.large_string()))
+    else:
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends
+
+
+def strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, which makes an Arrow scalar of each value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def words_and_marks(distinct: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Different words, the word of each piece, the pieces that have marks behind it and those marks, which are words too.
+
+    A piece of letters, perhaps with marks behind, is a word and those marks,
+    which many pieces share; any other is a word as it is. Case is no matter to
+    this tokenizer.
+    """
+    bare = pc.utf8_rtrim(distinct, characters=MARKS)
+    plain = pc.and_(pc.string_is_ascii(bare), pc.ascii_is_alpha(bare))
+    whole, words = strings(distinct), strings(pc.if_else(plain, pc.ascii_lower(bare), bare))
+    for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+        if words[i].isascii() or not of_letters(words[i]):
+            words[i] = whole[i]
+    marked = [i for i, (piece, word) in enumerate(zip(whole, words, strict=True)) if len(piece) != len(word)]
+    words += [whole[i][len(words[i]) :] for i in marked]
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    return strings(coded.dictionary), of[: len(whole)], np.array(marked, np.int64), of[len(whole) :]
+
+
+def encoded_runs(bpe: WordBpe, texts: list[str | None]) -> Iterator[tuple[list[str], pa.Array, np.ndarray, np.ndarray]]:
+    """Runs of texts with the packed ids of their different pieces, which of these follow one another, and each text's end among those."""
     for run in runs(texts):
-        wanted: set[str] = set()
-        for text in run:
-            wanted.update(pieces(text))
-        yield run, bpe.encode_pieces(wanted)
+        distinct, codes, ends = distinct_pieces(run)
+        words, word_of, marked, marks = words_and_marks(distinct)
+        packed = pa.array([*bpe.remembered_ids(words), b""], pa.large_binary())
+        behind = np.full(len(word_of), len(words), np.int64)
+        behind[marked] = marks
+        halves = packed.take(pa.array(word_of)), packed.take(pa.array(behind))
+        yield run, pc.binary_join_element_wise(*halves, pa.scalar(b"", packed.type)), codes, ends
+
+
+def end_to_end(values: pa.Array, which: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of the values ``which``, one after another, and where each starts and the last ends."""
+    taken = values.take(pa.array(which))
+    _, offsets, data = taken.buffers()
+    held = np.frombuffer(offsets, np.int64, len(taken) + 1, 8 * taken.offset) if len(taken) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), held
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -237,29 +342,34 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True, decoded: bool =
     ``path`` is a public tokenizer file that every executor has.
     """
 
-    def out(doc_ids: pa.Array, packed: list[bytes], texts: list[str]) -> pa.RecordBatch:
-        counts = pa.array([len(x) // 4 for x in packed], pa.int64())
+    def out(bpe: WordBpe, doc_ids: pa.Array, of: pa.Array, codes: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        packed, at = end_to_end(of, codes)
+        stops = at[np.concatenate([[0], ends])]
+        flat = np.frombuffer(packed, np.int32, stops[-1] // 4)
+        shown, at = end_to_end(bpe.spaced, flat)
+        places = stops // 4
+        # A text ends before the space behind its last token.
+        texts = [shown[start : max(start, stop - 1)] for start, stop in pairwise(at[places].tolist())]
+        counts = pa.array(np.diff(places), pa.int64())
         if ids:
-            ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-            lists = pa.ListArray.from_arrays(pa.array(ends), values)
+            lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(flat))
         else:
-            lists = pa.nulls(len(packed), pa.list_(pa.int32()))
-        shown = pa.array(texts, pa.string()) if decoded else pa.nulls(len(packed), pa.string())
-        digests = [pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())]
-        return pa.RecordBatch.from_arrays([doc_ids, counts, lists, shown, *digests], ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+            lists = pa.nulls(len(doc_ids), pa.list_(pa.int32()))
+        wholes = pa.array([bytes(x) for x in texts], pa.string()) if decoded else pa.nulls(len(doc_ids), pa.string())
+        digests = [pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string()) for some in ([packed[start:stop] for start, stop in pairwise(stops.tolist())], texts)]
+        return pa.RecordBatch.from_arrays([doc_ids, counts, lists, wholes, *digests], ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        names = bpe.names
         for batch in gathered(batches, TRIE_BYTES):
-            at, doc_ids = 0, batch.column(0)
-            for run, of in encoded_runs(bpe, batch.column(1).to_pylist()):
-                read = {p: " ".join([names[i] for i in memoryview(x).cast("i")]) for p, x in of.items()}
+            done, doc_ids = 0, batch.column(0)
+            for run, of, codes, ends in encoded_runs(bpe, batch.column(1).to_pylist()):
+                at = begin = 0
                 for some in runs(run, OUT_BYTES):
-                    split = [pieces(text) for text in some]
-                    yield out(doc_ids.slice(at, len(some)), [b"".join([of[w] for w in s]) for s in split], [" ".join([read[w] for w in s]) for s in split])
-                    at += len(some)
+                    mine = ends[at : at + len(some)]
+                    yield out(bpe, doc_ids.slice(done + at, len(some)), of, codes[begin : mine[-1]], mine - begin)
+                    at, begin = at + len(some), mine[-1]
+                done += at
 
     return in_text_batches(docs).select("doc_id", "text").mapInArrow(
         step, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"

@@ -11,18 +11,16 @@ decoded from its own slice and the rules alone.
 from __future__ import annotations
 
 import os
-import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe import ODD, pieces, runs
+from loomspark.llm.bpe import distinct_pieces, of_letters, runs, words_and_marks
 from loomspark.llm.common import in_text_batches
 
 #: Buckets in which pairs are counted before those of full buckets are counted exactly.
@@ -135,10 +133,6 @@ class Grammar:
         return laid_out(self.flat, self.sizes, symbols)
 
 
-#: Marks that are a pre-token of their own behind letters; the apostrophe isn't, letters may follow it.
-MARKS = "".join(c for c in string.punctuation if c != "'")
-
-
 class Library:
     """The tokenizers library over distinct words, which a worker remembers up to a bound."""
 
@@ -180,7 +174,7 @@ class Library:
             if word.isascii():
                 (plain if word.isalpha() and word.islower() else other).append(word)
             else:
-                (letters if word.lower().isalpha() else other).append(word)
+                (letters if of_letters(word) else other).append(word)
         for tokenizer, words in ((self.plain, plain), (self.tokenizer, letters)):
             for i in range(0, len(words), 5000):
                 some = words[i : i + 5000]
@@ -202,42 +196,6 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def distinct_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different runs without white space, which of them follow one another in all texts, and each text's end among those."""
-    if any(map(ODD.search, texts)):
-        split = pa.array([pieces(text) for text in texts], pa.large_list(pa.large_string()))
-    else:
-        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
-    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
-    coded = split.flatten().dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends
-
-
-def strings(column: pa.Array) -> list[str]:
-    """As ``to_pylist``, which makes an Arrow scalar of each value first."""
-    return column.to_numpy(zero_copy_only=False).tolist()
-
-
-def words_and_marks(distinct: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Different words, the word of each piece, the pieces that have marks behind it and those marks, which are words too.
-
-    A piece of letters, perhaps with marks behind, is a word and those marks,
-    which many pieces share; any other is a word as it is. Case is no matter to
-    this tokenizer.
-    """
-    bare = pc.utf8_rtrim(distinct, characters=MARKS)
-    plain = pc.and_(pc.string_is_ascii(bare), pc.ascii_is_alpha(bare))
-    whole, words = strings(distinct), strings(pc.if_else(plain, pc.ascii_lower(bare), bare))
-    for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
-        if words[i].isascii() or not words[i].lower().isalpha():
-            words[i] = whole[i]
-    marked = [i for i, (piece, word) in enumerate(zip(whole, words, strict=True)) if len(piece) != len(word)]
-    words += [whole[i][len(words[i]) :] for i in marked]
-    coded = pa.array(words, pa.large_string()).dictionary_encode()
-    of = coded.indices.to_numpy(zero_copy_only=False)
-    return strings(coded.dictionary), of[: len(whole)], np.array(marked, np.int64), of[len(whole) :]
-
-
 def library_ids(path: str, texts: list[str], end: int, remembered: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts by the tokenizers library, each with the end id, and the documents' lengths.
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from loomspark.llm import bpe
 from loomspark.llm.bpe import WordBpe, encode_decode, pieces
 from loomspark.llm.token_files import compress, decoded_documents, lengths, library_ids, read_documents, read_token_files, write_token_files
 
@@ -52,6 +53,19 @@ def test_a_very_long_word(library):
     assert list(memoryview(packed).cast("i")) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_split_and_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    own, split, tried = WordBpe(PATH), [], []
+    pretokens, encode_words = own.pretokens, own.encode_words
+    monkeypatch.setattr(own, "pretokens", lambda piece: split.append(piece) or pretokens(piece))
+    monkeypatch.setattr(own, "encode_words", lambda words: tried.extend(words) or encode_words(words))
+    words, marks = [a + b for a in "bdfgl" for b in ("an", "é", "um", "ich")], list(".,!?") + ["...", ""]
+    text = " ".join(w + m for word in words for w in (word, word.title()) for m in marks)
+    for _ in range(3):
+        assert len(list(bpe.encoded_runs(own, [text]))) == 1
+    assert len(split) < len(marks) and len(tried) == len(set(tried)) == len(words) + len(marks) - 1
+
+
 def test_round_trip(spark, library):
     rows = [(i if i != 3 else None, t, "x") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
@@ -84,6 +98,14 @@ def test_pieces_of_any_signs(library):
         assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_letters_that_are_a_letter_and_a_mark_in_nfc(library):
+    text = "\u0f57. \u0f43, \u0958! \u0f57 \u0f57a. é."
+    want = library.encode(text, add_special_tokens=False).ids
+    assert library_ids(PATH, [text], 1)[0].tolist() == [*want, 1]
+    ((_, of, codes, _),) = bpe.encoded_runs(WordBpe(PATH), [text])
+    assert np.frombuffer(b"".join(of.take(codes).to_pylist()), np.int32).tolist() == want
+
+
 @pytest.mark.parametrize("kinds", [2, 3, 50])
 def test_grammar_round_trip(kinds):
     rnd = np.random.default_rng(kinds)
