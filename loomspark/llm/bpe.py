@@ -370,6 +370,9 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True, decoded: bool =
                     yield out(bpe, doc_ids.slice(done + at, len(some)), of, codes[begin : mine[-1]], mine - begin)
                     at, begin = at + len(some), mine[-1]
                 done += at
+        # The worker goes on to other work, with its memory.
+        bpe.known, bpe.before = {}, {}
+        pa.default_memory_pool().release_unused()
 
     return in_text_batches(docs).select("doc_id", "text").mapInArrow(
         step, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"
